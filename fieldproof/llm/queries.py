@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldproof.llm import lookalikes, standins
+from fieldproof.llm import lookalikes, standins, stuffed, tokens
 from fieldproof.sources.tables import table
 
 
@@ -30,5 +30,15 @@ def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "predictions").select("pred_id", lookalikes.canonical_udf("answer").alias("form"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p7_found": p7_found, "p7_forms": p7_forms}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents made of repeated keywords, links or tags."""
+    return stuffed.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p10_found": p10_found}
 SQL: dict[str, str] = {}

@@ -168,6 +168,8 @@ PLACEHOLDERS = re.compile(
     r"|\[[a-z0-9]+(?:_[a-z0-9]+)+\]"
     r"|\[[^\[\]\n]{0,40}goes here\]"
     r"|\[object Object\]|#REF!|#VALUE!|#NAME\?|#DIV/0!"
+    r"|\[\[[A-Za-z]+_[\w.]+|@@" + NAME + r"@@"
+    r"|(?<![A-Za-z])(?:undefined|NaN)(?![A-Za-z])"
 )
 FILLER = re.compile(r"^\W*(?:x{2,}\W*){2,}$|^\W*x{5,}\W*$|\b(?:x{3,}[ .,]+){2,}x{2,}")
 COVERAGE = 0.5
