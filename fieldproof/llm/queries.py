@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldproof.llm import lookalikes, standins, stuffed, tokens
+from fieldproof.llm import grouped_split, lookalikes, overlap, standins, stuffed, tokens
 from fieldproof.sources.tables import table
 
 
@@ -18,6 +18,34 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return answers.unionByName(specs)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a training and an evaluation task that describe the same record."""
+    return overlap.cross_split_pairs(table(spark, folder, "tasks"))
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps per split and domain."""
+    return overlap.overlap_report(table(spark, folder, "tasks"))
+
+
+SHARES = {"train": 0.8, "dev": 0.1, "test": 0.1}
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of groups of at least two, with their group."""
+    return grouped_split.id_groups(table(spark, folder, "tasks")).filter("n_ids >= 2").select("id", "group_id")
+
+
+def p4_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every id with the split its group was dealt to."""
+    return grouped_split.assign_splits(table(spark, folder, "tasks"), SHARES)
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares the splits reached."""
+    return grouped_split.split_report(table(spark, folder, "tasks"), SHARES)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Answers of one task, and values of one record, that look alike but are stored differently."""
     answers = lookalikes.look_alike_answers(table(spark, folder, "predictions")).select(F.lit("answer").alias("place"), "key_a", "key_b")
@@ -40,5 +68,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffed.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_report": p4_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p10_found": p10_found}
 SQL: dict[str, str] = {}
