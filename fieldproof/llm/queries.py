@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldproof.llm import grouped_split, lookalikes, overlap, standins, stuffed, tokens
+from fieldproof.llm import grouped_split, lookalikes, mixing, overlap, standins, stuffed, tokens
 from fieldproof.sources.tables import table
 
 
@@ -63,10 +63,20 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture: documents with the number of their copies."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares the mixture reached."""
+    return mixing.mixture_report(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents made of repeated keywords, links or tags."""
     return stuffed.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_report": p4_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_report": p4_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL: dict[str, str] = {}
