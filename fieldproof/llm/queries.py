@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldproof.llm import grouped_split, lookalikes, mixing, overlap, standins, stuffed, tokens
+from fieldproof.llm import answer_languages, grouped_split, languages, lookalikes, mixing, overlap, pairs, standins, stuffed, tokens
 from fieldproof.sources.tables import table
 
 
@@ -46,6 +46,32 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return grouped_split.split_report(table(spark, folder, "tasks"), SHARES)
 
 
+def fitted(spark: SparkSession, folder: str) -> languages.Profiles:
+    """Language profiles of a bounded sample of the documents."""
+    return languages.fit_on_documents(table(spark, folder, "documents"), table(spark, folder, "language_names"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions that are no proper reply, with their defect."""
+    return pairs.defects(table(spark, folder, "predictions"), table(spark, folder, "tasks"), fitted(spark, folder))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of answers that aren't just in the language their task names."""
+    names = table(spark, folder, "language_names")
+    return answer_languages.mislabelled(table(spark, folder, "predictions"), table(spark, folder, "tasks"), names, fitted(spark, folder))
+
+
+def p6_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The main language of every answer, with its confidence."""
+    return answer_languages.main_languages(table(spark, folder, "predictions"), fitted(spark, folder))
+
+
+def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of every answer with its language and confidence."""
+    return answer_languages.language_segments(table(spark, folder, "predictions"), fitted(spark, folder))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Answers of one task, and values of one record, that look alike but are stored differently."""
     answers = lookalikes.look_alike_answers(table(spark, folder, "predictions")).select(F.lit("answer").alias("place"), "key_a", "key_b")
@@ -78,5 +104,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffed.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_report": p4_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_report": p4_report, "p5_found": p5_found, "p6_found": p6_found, "p6_languages": p6_languages, "p6_segments": p6_segments, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL: dict[str, str] = {}
