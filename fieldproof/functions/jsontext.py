@@ -6,7 +6,18 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-UNREADABLE = object()
+
+class _Unreadable:
+    """The one mark of a text that can't be read; stays the same object when sent to workers."""
+
+    def __reduce__(self) -> str:
+        return "UNREADABLE"
+
+    def __repr__(self) -> str:
+        return "UNREADABLE"
+
+
+UNREADABLE = _Unreadable()
 
 
 def read_json(text: str | None) -> Any:

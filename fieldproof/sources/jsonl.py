@@ -57,7 +57,7 @@ def write_ids(ids: DataFrame, path: str) -> None:
 
 def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """(method, text) of the prompt files of a folder, one whole file per row."""
-    files = spark.read.option("wholetext", "true").text(os.path.join(folder, "*.md")).withColumn("file", F.input_file_name())
+    files = spark.read.text(os.path.join(folder, "*.md"), wholetext=True).withColumn("file", F.input_file_name())
     return files.select(F.regexp_extract("file", r"([^/]+)\.md$", 1).alias("method"), F.col("value").alias("text"))
 
 
