@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from fieldproof.llm.canon import is_empty
+from fieldproof.llm.canon import BLANK, fold_form, is_empty
 from fieldproof.llm.languages import Identifier, Profiles, canonical_lines
-from fieldproof.llm.standins import looks_like_standin, standin_own_udf, task_key, task_own_texts
+from fieldproof.llm.standins import holds_standin, standin_own_udf, task_key, task_own_texts
 
 _SHARED: dict[int, Identifier] = {}
 
@@ -39,11 +39,17 @@ def answer_languages(predictions: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = identifier(profiles)
+
+        def looked(text: str) -> tuple[dict, bool]:
+            lines = canonical_lines(text)
+            form = BLANK.sub(" ", lines)
+            return own.form_languages(lines), holds_standin(form, fold_form(form))
+
         for b in batches:
             seen: dict = {}
             for text in b["answer"]:
                 if text not in seen:
-                    seen[text] = None if is_empty(text) else (own.languages(text), looks_like_standin(text))
+                    seen[text] = None if is_empty(text) else looked(text)
             rows = [(p, t, list(found[0]), [c for _, c in found[0].values()], a if found[1] else None) for p, t, a in zip(b["pred_id"], b["task_id"], b["answer"]) if (found := seen[a]) and found[0]]
             yield pd.DataFrame(rows, columns=["pred_id", "task_id", "langs", "confidences", "suspect"])
 

@@ -52,7 +52,13 @@ def canonical(text: str) -> str:
 
 def folded(text: str) -> str:
     """canonical() with full case folding and runs of blanks as one; for comparisons without case."""
-    return " ".join(unicodedata.normalize("NFKC", canonical(text).casefold()).split())
+    return fold_form(canonical(text))
+
+
+def fold_form(form: str) -> str:
+    """folded() of a text that is in canonical form already."""
+    low = form.casefold()
+    return " ".join((low if low.isascii() else unicodedata.normalize("NFKC", low)).split())
 
 
 def per_distinct(values: Iterable, function: Callable) -> list:
@@ -71,14 +77,17 @@ NO_VALUE = frozenset({"n/a", "na", "null", "none", "nil", "nan", "undefined", "u
 SHOWN = re.compile(r"[^\W_]")
 
 
-@lru_cache(maxsize=65_536)
 def is_empty(text: str | None) -> bool:
     """Null, or nothing but blanks, invisible characters, punctuation or a no-value word."""
     if text is None:
         return True
+    # a long text with letters can be no word that stands for nothing
+    return False if len(text) > 60 and len(SHOWN.findall(text, 0, 60)) > 30 else _is_empty(text)
+
+
+@lru_cache(maxsize=65_536)
+def _is_empty(text: str) -> bool:
     form = canonical(text)
-    if len(form) > 200 and SHOWN.search(form):
-        return False
     if not any(unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "So" for c in form):
         return True
-    return form.casefold().strip(" .,;:!?\"'`()[]<>-_*|~。、，…") in NO_VALUE
+    return form.casefold().strip(" .,;:!?\"'`()[]<>{}-_*|~\u3002\u3001\u2026\u201c\u201d\u2018\u2019\u00ab\u00bb\u300c\u300d") in NO_VALUE

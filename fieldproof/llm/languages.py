@@ -142,9 +142,13 @@ class Identifier:
         """
         if not text:
             return {}
+        return self.form_languages(canonical_lines(text))
+
+    def form_languages(self, form: str) -> dict[str, tuple[int, float]]:
+        """languages() of a text that is in canonical form already."""
         size: Counter = Counter()
         sure: dict[str, float] = defaultdict(float)
-        for s in self.stretches(canonical_lines(text)):
+        for s in self.stretches(form):
             size[s.lang] += s.letters
             sure[s.lang] = max(sure[s.lang], s.confidence)
         kept = {x: n for x, n in size.items() if len(size) == 1 or n >= FEWEST.get(x, 8)}
@@ -156,7 +160,7 @@ FEWEST = {"en": 3, "id": 3, "zh": 4, "ja": 4}
 
 def canonical_lines(text: str) -> str:
     """canonical() that keeps line ends."""
-    return "\n".join(map(canonical, text.split("\n")))
+    return "\n".join(map(canonical, text.split("\n"))) if "\n" in text else canonical(text)
 
 
 def fit(labelled: list[tuple[str, str]]) -> Profiles:

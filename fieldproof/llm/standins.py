@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from fieldproof.functions.jsontext import UNREADABLE, leaves, read_json
-from fieldproof.llm.canon import canonical, folded
+from fieldproof.llm.canon import canonical, fold_form, folded
 
 # Phrases that are never content, in folded form.
 STRONG_PHRASES = """
@@ -171,7 +171,7 @@ PLACEHOLDERS = re.compile(
     r"|\[\[[A-Za-z]+_[\w.]+|@@" + NAME + r"@@"
     r"|(?<![A-Za-z])(?:undefined|NaN)(?![A-Za-z])"
 )
-FILLER = re.compile(r"^\W*(?:x{2,}\W*){2,}$|^\W*x{5,}\W*$|\b(?:x{3,}[ .,]+){2,}x{2,}")
+FILLER = re.compile(r"^\W*x{2,}(?:[\W_]+x{2,})+\W*$|^\W*x{5,}\W*$|\b(?:x{3,}[ .,]+){2,}x{2,}")
 COVERAGE = 0.5
 
 
@@ -193,7 +193,11 @@ def looks_like_standin(text: str | None, own: Iterable[str] = ()) -> bool:
     if not text:
         return False
     form = canonical(text)
-    low = folded(form)
+    return holds_standin(form, fold_form(form), own)
+
+
+def holds_standin(form: str, low: str, own: Iterable[str] = ()) -> bool:
+    """looks_like_standin() of a text given in canonical and in folded form."""
     for name in own:
         form = re.sub(re.escape(canonical(name)), " ", form, flags=re.IGNORECASE)
         low = low.replace(folded(name), " ")
@@ -241,7 +245,7 @@ def own_texts(tool_result: str | None, user_query: str | None, values: Iterable[
 def looks_like_part(text: str) -> bool:
     """Whether any pattern or phrase, weak ones too, is found anywhere."""
     form = canonical(text)
-    return bool(PLACEHOLDERS.search(form)) or next(automaton().iter(folded(form)), None) is not None
+    return bool(PLACEHOLDERS.search(form)) or next(automaton().iter(fold_form(form)), None) is not None
 
 
 def task_own_texts(tasks: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldproof.llm.canon import canonical
 
-LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\[\]]*\]\((?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)\S+", re.I | re.S)
+LINK = re.compile(r"<a\s[^>]{0,400}>.{0,200}?</a>|\[[^\[\]]{0,200}\]\((?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)\S+", re.I | re.S)
 TAG = re.compile(r"(?<!\w)#[^\s#]{2,}|\[[^\[\]\n]{1,40}\](?!\()")
 # Marks of product offers.
 OFFER = re.compile(r"\d+\s?% off\b|\bbuy now\b|\bSKU\b|\bfree shipping\b|\badd to cart\b|\bin stock\b|\border now\b|[$€£¥]\s?\d|\bdiscount\b|\bcheap\b", re.I)
