@@ -51,7 +51,8 @@ def answer_languages(predictions: DataFrame, profiles: Profiles) -> DataFrame:
                 if text not in seen:
                     seen[text] = None if is_empty(text) else looked(text)
             rows = [(p, t, list(found[0]), [c for _, c in found[0].values()], a if found[1] else None) for p, t, a in zip(b["pred_id"], b["task_id"], b["answer"]) if (found := seen[a]) and found[0]]
-            yield pd.DataFrame(rows, columns=["pred_id", "task_id", "langs", "confidences", "suspect"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["pred_id", "task_id", "langs", "confidences", "suspect"])
 
     picked = predictions.filter(F.col("answer").isNotNull()).select("pred_id", task_key().alias("task_id"), "answer")
     return picked.mapInPandas(run, "pred_id bigint, task_id string, langs array<string>, confidences array<double>, suspect string")
@@ -82,7 +83,8 @@ def language_segments(predictions: DataFrame, profiles: Profiles) -> DataFrame:
             rows = []
             for pred, text in zip(b["pred_id"], b["answer"]):
                 rows += [(pred, i, s.start, s.end, s.lang, s.confidence) for i, s in enumerate(own.stretches(canonical_lines(text)))]
-            yield pd.DataFrame(rows, columns=["pred_id", "seg", "start", "end", "lang", "confidence"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["pred_id", "seg", "start", "end", "lang", "confidence"])
 
     picked = predictions.filter(F.col("answer").isNotNull()).select("pred_id", "answer")
     return picked.mapInPandas(run, "pred_id bigint, seg int, start int, end int, lang string, confidence double")

@@ -85,6 +85,7 @@ def look_alike_values(tasks: DataFrame) -> DataFrame:
                     if isinstance(stored, str) and stored != value and canonical(stored) == canonical(value):
                         lines.append(line)
                         places.append(pos)
-            yield pd.DataFrame({"line_no": lines, "pos": places})
+            if lines:
+                yield pd.DataFrame({"line_no": lines, "pos": places})
 
     return picked.mapInPandas(look, "line_no bigint, pos bigint")

@@ -260,7 +260,8 @@ def task_own_texts(tasks: DataFrame) -> DataFrame:
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [own_texts(t, q, v if v is not None else ()) for t, q, v in zip(b["tool_result"], b["user_query"], b["values"])]
-            yield pd.DataFrame({"task_id": [i for i, x in zip(b["task_id"], found) if x], "own": [x for x in found if x]})
+            if any(found):
+                yield pd.DataFrame({"task_id": [i for i, x in zip(b["task_id"], found) if x], "own": [x for x in found if x]})
 
     rows = picked.mapInPandas(own, "task_id string, own array<string>")
     return rows.groupBy("task_id").agg(F.array_distinct(F.flatten(F.collect_set("own"))).alias("own"))
@@ -325,6 +326,7 @@ def standin_specs(tasks: DataFrame) -> DataFrame:
                         if any(looks_like_standin(x, own) for x in suspects) if own else True:
                             lines.append(line)
                             places.append(pos)
-            yield pd.DataFrame({"line_no": lines, "pos": places})
+            if lines:
+                yield pd.DataFrame({"line_no": lines, "pos": places})
 
     return picked.mapInPandas(look, "line_no bigint, pos bigint")
