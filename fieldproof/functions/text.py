@@ -87,6 +87,7 @@ YMD = r"(?<!\d)(\d{4})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})\s*(?:日)?"
 DMY = r"(?<!\d)(\d{1,2})\s*[/-]\s*(\d{1,2})\s*[/-]\s*(\d{4})(?!\d)"
 D_MONTH_Y = rf"(?<!\d)(\d{{1,2}})(?:st|nd|rd|th)?\s+({MONTH})\.?\s+(\d{{4}})(?!\d)"
 MONTH_D_Y = rf"({MONTH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?[,]?\s+(\d{{4}})(?!\d)"
+DAY_YEAR = r"\s\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4}"
 STAMP = r"(?<!\d)(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:t|\s+| เวลา | pukul )(\d{1,2}):(\d{2})(?::(\d{2}))?"
 CLOCK = r"(?<!\d)(\d{1,2}):(\d{2})(?::(\d{2}))?(?!\d)"
 SEPARATORS = r"(?i)\s*(?:,|，|、|;|；|\band\b|和|及|以及)\s*"
@@ -106,7 +107,8 @@ def dates(lower: Column) -> Column:
         ),
         F.array_union(
             _found(text, D_MONTH_Y, lambda g: calendar_date(_int(g(3)), _month(g(2)), _int(g(1)))),
-            _found(text, MONTH_D_Y, lambda g: calendar_date(_int(g(3)), _month(g(1)), _int(g(2)))),
+            # the search for month names is only begun where a day and a year follow a blank
+            F.when(text.rlike(DAY_YEAR), _found(text, MONTH_D_Y, lambda g: calendar_date(_int(g(3)), _month(g(1)), _int(g(2))))).otherwise(F.array().cast("array<string>")),
         ),
     )
 

@@ -83,18 +83,19 @@ def specified_tasks(tasks: DataFrame) -> DataFrame:
     base = tasks.select("id", F.col("user_language").alias("language"), "domain", F.col("expected_answer_language").alias("expected"), F.coalesce("forbidden_hallucinations", mt.none()).alias("forbidden"), specs.alias("specs"))
     flat = base.withColumn("all_texts", F.array_distinct(F.flatten(F.transform("specs", lambda s: F.concat(s["texts"], s["code_texts"])))))
     with_plain = flat.withColumn("all_plain", tx.nfkc_array("all_texts"))
-    forms = with_plain.withColumn("forms", F.map_from_arrays("all_texts", _shaped(F.col("all_texts"), F.col("all_plain"))))
-    return forms.select(
-        "id", "language", "domain", "expected", "forbidden",
-        F.transform(
+
+    def with_forms(table: Column) -> Column:
+        return F.transform(
             "specs",
             lambda s: F.struct(
                 s["path"].alias("path"), s["role"].alias("role"), s["required"].alias("required"), s["localize"].alias("localize"), s["raw"].alias("raw"),
-                F.transform(s["texts"], lambda t: F.col("forms")[t]).alias("candidates"),
-                F.transform(s["code_texts"], lambda t: F.col("forms")[t]).alias("codes"),
+                F.transform(s["texts"], lambda t: table[t]).alias("candidates"),
+                F.transform(s["code_texts"], lambda t: table[t]).alias("codes"),
             ),
-        ).alias("specs"),
-    )
+        )
+
+    # bound, so that the forms are made once per task and not once per use
+    return with_plain.select("id", "language", "domain", "expected", "forbidden", _bound(F.map_from_arrays("all_texts", _shaped(F.col("all_texts"), F.col("all_plain"))), with_forms).alias("specs"))
 
 
 def _bound(value: Column, body) -> Column:
