@@ -1,7 +1,8 @@
 """Pages of repeated keywords, links or tags in place of sentences (problem 10).
 
 Every line is reduced to a shape: buckets of its words, capitals, separators and links, and the
-kind of line these make (sentence, link, tag, offer, keyword list, fragment). Equal shapes of a
+kind of line these make (sentence, link, tag, offer, keyword list, fragment). Repetition is tested
+before a stop makes a line a sentence, so key phrases closed by stops are keywords. Equal shapes of a
 page are grouped, and a page is flagged when groups of non-sentence shapes hold most of its text
 and few shapes make up that part. One pass over the rows, no shuffle, whole texts.
 
@@ -30,6 +31,7 @@ SEPARATOR = re.compile(r"\s*(?:[|•·、;,/،᠂]|>>|\s[-–—@]\s)\s*")
 STOP = re.compile(r"[.!?](?=[\s\"')\]]|$)|[。!?؟།᠃]")
 NUMBER = re.compile(r"\d[\d.,:/-]*\d")
 OBJECT = re.compile(r"^[\[{].*[\"}\]][,:]?\s*[\[\]{}\d\w\"]", re.S)
+FEW_WORDS = 16  # distinct words of a line of key phrases, however long it is
 LINK_LENGTH = 25  # a link counts like a few words, however long its address is
 WORD = re.compile(r"[^\W\d_](?:[\w'’་-]*\w)?")
 CAPITAL = re.compile(r"\b[A-ZÀ-Þ]")
@@ -51,6 +53,25 @@ def bucket(n: int) -> int:
     return n if n < 3 else (n - 1).bit_length() + 1
 
 
+def repetitive(text: str) -> bool:
+    """Whether a text without links is short phrases, split at stops and separators, of the same few words again and again.
+
+    Numbers count as words, so fields whose values differ aren't repetition.
+    """
+    phrases = [p.split() for x in SEPARATOR.split(text.casefold()) for p in STOP.split(x) if p.strip()]
+    words = [w for p in phrases for w in p]
+    known = set(words)
+    if len(phrases) < 6 or len(words) < 12 or len(words) > 6 * len(phrases) or len(known) > 0.5 * len(words):
+        return False
+    if len(known) <= FEW_WORDS:
+        return True
+    # more words are no prose either where one key word is in nearly every phrase
+    if len(known) > 0.2 * len(words) or len(words) > 4 * len(phrases):
+        return False
+    held = Counter(w for p in phrases for w in set(p))
+    return held.most_common(1)[0][1] >= 0.9 * len(phrases)
+
+
 def line_shape(line: str) -> Shape:
     """The shape of one line, which isn't blank."""
     if line[0] in "{[" and OBJECT.match(line) and '":' in line:
@@ -69,6 +90,8 @@ def line_shape(line: str) -> Shape:
         kind = "tag"
     elif len(OFFER.findall(rest)) >= 2 or OFFER.search(rest) and len(items) >= 3 and not stops:
         kind = "offer"
+    elif stops and repetitive(LINK.sub(" ", line)):
+        kind = "keywords"
     elif stops and running and (mean >= 8 or len(items) < 4) and letters > 8 * max(0, len(items) - 6 * stops - 6):
         kind = "sentence"
     elif links and letters < 60:
@@ -89,6 +112,7 @@ def line_shape(line: str) -> Shape:
 
 
 FEW_SHAPES = 12
+SHORT = 4  # bucket of 5 to 8 words
 MOST = 0.5
 
 
@@ -98,8 +122,13 @@ def stuffing(text: str) -> tuple[float, int, int]:
     shapes: Counter[Shape] = Counter()
     mass: Counter[Shape] = Counter()
     fragments: list[str] = []
-    for line in lines:
-        shape = line_shape(line)
+    shaped = [line_shape(line) for line in lines]
+    # short lines that each close with a stop are judged together
+    short = [i for i, s in enumerate(shaped) if s.kind == "sentence" and s.words <= SHORT]
+    if len(short) >= 6 and repetitive("\n".join(f"{LINK.sub(' ', lines[i])} |" for i in short)):
+        for i in short:
+            shaped[i] = shaped[i]._replace(kind="keywords")
+    for line, shape in zip(lines, shaped):
         shapes[shape] += 1
         mass[shape] += len(LINK.sub("L" * LINK_LENGTH, line))
         if shape.kind == "fragment":

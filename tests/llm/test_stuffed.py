@@ -46,6 +46,32 @@ def test_kept(name):
     assert not is_stuffed(KEPT[name])
 
 
+PUNCTUATED = {
+    "stops": "free weather, weather online! live weather. weather near me! weather online, live weather! free weather. weather 2025, weather near me. weather live! ",
+    "unseparated": "review 统计指标 online 统计指标. 统计指标 live, api key 统计指标! 统计指标 online 统计指标 2025. live 统计指标! 统计指标 review. near me 统计指标! ",
+    "two": "free weather! book online. weather online! free book. book live! weather live. book online! free weather, weather online. free book. ",
+    "lines": "\n".join(f"{a} weather {b}!" for a in ("live", "free", "near") for b in ("online", "station", "2025", "review")),
+    "many": " ".join(f"weather {w}{stop}" for w in "abode birch cedar delta ember fjord grove heath inlet jetty knoll lemma".split() for stop in ".!.,!.!.!,"),
+}
+PROSE = {
+    "answers": "ᠳᠣᠣᠷᠠᠬᠢ ᠨᠢ ᠨᠣᠮ ᠤᠨ ᠮᠡᠳᠡᠭᠡ ᠪᠣᠯᠤᠨᠠ᠂ ᠨᠡᠷᠡ ᠨᠢ Leriniza᠂ ᠲᠣᠭᠠ ᠨᠢ 239941᠂ ᠭᠠᠵᠠᠷ ᠨᠢ Kale᠂ ᠺᠣᠳ ᠨᠢ M33-142fa᠂ ᠪᠠᠶᠢᠳᠠᠯ ᠨᠢ ᠬᠠᠭᠠᠭᠰᠠᠨ᠂ ᠤᠲᠭᠠ ᠨᠢ 279.9᠃ ᠪᠤᠰᠤᠳ ᠮᠡᠳᠡᠭᠡ ᠦᠭᠡᠢ᠃",
+    "short": "The name is Rose. The date is today. Its place reads Harbor. The count is four. Its value reads three. The status is active.",
+    "values": " ".join(f"The name is {n}, the date is 2021-0{i}-14, the code is A{i}-86{i}, the value is 4{i}.8, the count is 18{i}55." for i, n in enumerate(("Rose", "Kale", "Pavi"), 1)),
+    "repeated": "The name of the record is kept, and its date is copied by the reviewer. " * 6,
+}
+
+
+@pytest.mark.parametrize("name", PUNCTUATED)
+def test_punctuated_keywords(name):
+    assert is_stuffed(PUNCTUATED[name])
+    assert is_stuffed(SENTENCE + "\n" + PUNCTUATED[name])
+
+
+@pytest.mark.parametrize("name", PROSE)
+def test_prose_of_short_clauses(name):
+    assert not is_stuffed(PROSE[name])
+
+
 def test_pages(spark):
     rows = [*enumerate([*STUFFED.values(), *KEPT.values(), None, STUFFED["tags"]])]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, key string")
