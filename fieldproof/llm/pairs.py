@@ -42,6 +42,7 @@ TAIL = 6  # characters of an ending
 SHINGLE = 3
 BANDS, ROWS = 16, 4
 SIMILAR = 0.8
+BLOCK = 500  # openings of a band that one key compares with as many others
 RECURS_TASKS, RECURS_DOMAINS = 5, 3
 CLOSING_SHARE, CLOSING_LEAST = 2e-5, 3
 
@@ -245,14 +246,18 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
             if len(b):
                 yield pd.DataFrame({"opening": b["opening"], "bands": [minhash(x) for x in b["opening"]]})
 
-    keyed = openings.select("opening").mapInPandas(run, "opening string, bands array<bigint>").withColumn("node", F.xxhash64("opening"))
-    bands = keyed.select("node", "opening", F.explode("bands").alias("band"))
-    # each opening is compared with the smallest of its band: linear in the openings of a band
-    firsts = bands.groupBy("band").agg(F.min(F.struct("node", "opening")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("first.node").alias("b"), F.col("first.opening").alias("other"))
     shingled = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (SHINGLE - 1))), lambda i: F.substring(c, i, F.lit(SHINGLE))))
-    pairs = bands.join(firsts, "band").filter("node <> b").select(F.col("node").alias("a"), "b", F.col("opening").alias("x"), F.col("other").alias("y")).distinct()
-    sa, sb = shingled(F.col("x")), shingled(F.col("y"))
-    linked = pairs.filter(F.size(F.array_intersect(sa, sb)) >= F.lit(SIMILAR) * F.size(F.array_union(sa, sb))).select("a", "b")
+    keyed = checkpointed(openings.select("opening").mapInPandas(run, "opening string, bands array<bigint>").withColumn("node", F.xxhash64("opening")))
+    bands = keyed.select("node", shingled(F.col("opening")).alias("shingles"), F.explode("bands").alias("band"))
+    # all pairs of a band are compared: large bands are cut into blocks, and every two blocks meet under a key of their own
+    blocks = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    placed = bands.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    met = placed.select("band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "shingles")
+    right = met.select("band", "low", "high", F.col("block").alias("other_block"), F.col("node").alias("b"), F.col("shingles").alias("others"))
+    pairs = met.join(right, ["band", "low", "high"]).filter("node < b AND (block <> other_block OR low = high)")
+    alike = F.size(F.array_intersect("shingles", "others")) >= F.lit(SIMILAR) * F.size(F.array_union("shingles", "others"))
+    near = F.least(F.size("shingles"), F.size("others")) >= F.lit(SIMILAR) * F.greatest(F.size("shingles"), F.size("others"))
+    linked = pairs.filter(near & alike).select(F.col("node").alias("a"), "b").distinct()
     roots = connected(linked)
     return keyed.select("node", "opening").join(roots, "node", "left").select("opening", F.coalesce("root", "node").alias("cluster"))
 

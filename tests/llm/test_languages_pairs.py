@@ -116,3 +116,12 @@ def test_opening_clusters(spark):
     texts = ["sorry, i cannot answer that now", "sorry, i cannot answer that now!", "the name is n, the date is n, and", "", "ab"]
     got = {r["opening"]: r["cluster"] for r in pairs.opening_clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
     assert len(got) == 5 and got[texts[0]] == got[texts[1]] and len(set(got.values())) == 4
+
+
+@pytest.mark.parametrize("block", [1, 2, 500])
+def test_every_pair_of_a_band(spark, monkeypatch, block):
+    """Two alike openings share bands only with a smaller one that is like neither."""
+    monkeypatch.setattr(pairs, "BLOCK", block, raising=False)
+    texts = ["sorry, that is nht for me to say", "sorry, that isinht for me to say", "sorry, jfat is nht for me to say", "sorryg thatfis nht for me to say"]
+    got = {r["opening"]: r["cluster"] for r in pairs.opening_clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
+    assert got[texts[0]] == got[texts[1]] and len(set(got.values())) == 3
