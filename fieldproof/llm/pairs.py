@@ -270,20 +270,20 @@ def refusal_openings(rows: DataFrame) -> DataFrame:
             F.count("*").alias("n"),
             F.sum(F.col("grounded").cast("bigint")).alias("n_grounded"),
             F.max("declines").alias("declines"),
-            F.approx_count_distinct("task_id").alias("n_tasks"),
-            F.collect_set(F.pmod(F.xxhash64("domain"), F.lit(64))).alias("domains"),
         )
     )
     head = F.substring("opening", 1, HEAD)
     free = stats.filter(F.col("n_grounded") <= 0.1 * F.col("n")).filter(F.length("opening") >= HEAD)
-    clusters = free.join(opening_clusters(free), "opening")
+    clusters = checkpointed(free.join(opening_clusters(free), "opening"))
+    # a task or domain counts once per cluster, however many of its openings have it
+    seen = said.join(clusters.select("opening", "cluster"), "opening").select("cluster", "task_id", "domain").distinct()
+    counted = lambda c, name: seen.filter(F.col(c).isNotNull()).select("cluster", c).distinct().groupBy("cluster").agg(F.count("*").alias(name))
     heads = stats.groupBy(head.alias("head")).agg((F.sum("n_grounded") / F.sum("n")).alias("led"))
     whole = clusters.join(heads, head == F.col("head")).groupBy("cluster").agg(
-        F.sum("n_tasks").alias("n_tasks"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("domains")))).alias("n_domains"),
         F.max("declines").alias("declines"),
         F.avg("led").alias("led"),
     )
+    whole = whole.join(counted("task_id", "n_tasks"), "cluster", "left").join(counted("domain", "n_domains"), "cluster", "left")
     kept = whole.filter(((F.col("n_tasks") >= RECURS_TASKS) & (F.col("n_domains") >= RECURS_DOMAINS) & (F.col("led") < 0.5)) | F.col("declines"))
     return clusters.join(kept.select("cluster"), "cluster", "left_semi").select("opening")
 

@@ -125,3 +125,19 @@ def test_every_pair_of_a_band(spark, monkeypatch, block):
     texts = ["sorry, that is nht for me to say", "sorry, that isinht for me to say", "sorry, jfat is nht for me to say", "sorryg thatfis nht for me to say"]
     got = {r["opening"]: r["cluster"] for r in pairs.opening_clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
     assert got[texts[0]] == got[texts[1]] and len(set(got.values())) == 3
+
+
+ROW = "pred_id bigint, task_id string, domain string, opening string, grounded boolean, declines boolean"
+
+
+def test_exact_domains_and_tasks(spark):
+    first, second = "that is not for me to say, ask again", "that is not for me to say, ask again!"
+    three = ["book", "code_repo", "earthquake"]  # the last two have equal hashes modulo 64
+    rows = [(i, f"t{i}", three[i % 3], first, False, False) for i in range(6)]
+    assert [r[0] for r in pairs.refusal_openings(spark.createDataFrame(rows, ROW)).collect()] == [first]
+    # three tasks with two openings each are three tasks
+    rows = [(2 * i + k, f"t{i}", three[i], x, False, False) for i in range(3) for k, x in enumerate((first, second))]
+    assert pairs.refusal_openings(spark.createDataFrame(rows, ROW)).count() == 0
+    # no domain is no third domain
+    rows = [(i, f"t{i}", ["book", "food", None][i % 3], first, False, False) for i in range(6)]
+    assert pairs.refusal_openings(spark.createDataFrame(rows, ROW)).count() == 0
