@@ -306,5 +306,7 @@ def defects(predictions: DataFrame, tasks: DataFrame, profiles: Profiles) -> Dat
     value_end = F.col("tail").rlike("n$") & F.col("tail").rlike("(^|[^a-z])n$")
     marked = open_rows.join(refused, "opening", "left").join(ends, ["lang", "tail"], "left")
     truncated = with_task & ~F.col("closed") & (F.col("tail").isNull() | F.col("lang").isNull() | F.col("ends").isNull() | (value_end & ~F.col("whole")))
-    defect = F.when(F.col("refused") & ~F.col("grounded"), "refusal").when(F.col("defect").isNotNull(), F.col("defect")).when(truncated, "truncated")
+    # a whole answer too short for clustering is a refusal where it declines in so many words
+    declined = F.col("declines") & (F.length("opening") < HEAD)
+    defect = F.when((F.coalesce("refused", F.lit(False)) | declined) & ~F.col("grounded"), "refusal").when(F.col("defect").isNotNull(), F.col("defect")).when(truncated, "truncated")
     return settled.unionByName(marked.select("pred_id", defect.alias("defect")).filter("defect IS NOT NULL"))

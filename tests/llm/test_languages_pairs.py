@@ -141,3 +141,10 @@ def test_exact_domains_and_tasks(spark):
     # no domain is no third domain
     rows = [(i, f"t{i}", ["book", "food", None][i % 3], first, False, False) for i in range(6)]
     assert pairs.refusal_openings(spark.createDataFrame(rows, ROW)).count() == 0
+
+
+def test_short_refusals(spark, make, profiles):
+    tasks = make.tasks([{"id": "t", "domain": "book", "user_query": "请告诉我Rose的图书信息。"}])
+    answers = ["无法回答。", "お答えできません。", "名称是Rose。", "正常。"]
+    got = {(r["pred_id"], r["defect"]) for r in pairs.defects(make.predictions([{"id": "t" if i != 1 else None, "answer": a} for i, a in enumerate(answers)]), tasks, profiles).collect()}
+    assert got == {(0, "refusal"), (1, "refusal")}
