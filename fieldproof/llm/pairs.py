@@ -111,22 +111,26 @@ def value_forms(values: list[str]) -> set[str]:
     return out
 
 
-def ends_in_value(form: str, values: list[str]) -> bool:
-    """Whether a text ends in a whole value."""
-    low = folded(form)
-    for v in value_forms(values):
+def endings(low: str, forms: set[str]) -> Iterator[str]:
+    """The forms of whole values that a folded text ends in."""
+    for v in forms:
         if v and low.endswith(v) and not (len(low) > len(v) and v[0].isalnum() and v[0].isascii() and low[-len(v) - 1].isascii() and (low[-len(v) - 1].isalnum() or low[-len(v) - 1] in ".-/" and v[0].isdigit())):
-            return True
-    return False
+            yield v
+
+
+def ends_in_value(low: str, forms: set[str], nested: set[str]) -> bool:
+    """Whether a folded text ends in a whole value; a nested one isn't whole where it may be the beginning of another value."""
+    return any(True for _ in endings(low, forms)) or any(not any(w.startswith(v) and w != v for w in forms) for v in endings(low, nested))
 
 
 MEMBER_TEXT = re.compile(r':\s*"((?:[^"\\]|\\.)*)"\s*[,}\]]')  # of members, not their names
 
 
 def task_facts(tasks: DataFrame) -> DataFrame:
-    """(task_id, domain, query, values, own), one row per id: what an answer is held against.
+    """(task_id, domain, query, values, nested, own), one row per id: what an answer is held against.
 
-    Copies of a task agree in their query; values are united over them.
+    nested are the values below the outermost object, which an answer may end in. Copies of a
+    task agree in their query; values are united over them, of any length.
     """
     picked = tasks.filter(F.col("id").isNotNull()).select(
         F.col("id").alias("task_id"),
@@ -144,21 +148,24 @@ def task_facts(tasks: DataFrame) -> DataFrame:
                 specs = [x for x in specs if x] if specs is not None else []
                 found = [*specs, *(x for x in (accepted if accepted is not None else ()) if x)]
                 value = read_json(result)
+                nested: list[str] = []
                 if value is not UNREADABLE:
+                    nested = [x if isinstance(x, str) else repr(x) for _, x in leaves(value) if isinstance(x, (str, int, float)) and not isinstance(x, bool)]
                     while isinstance(value, list) and value:
                         value = value[0]
                     if isinstance(value, dict):
                         found += [x if isinstance(x, str) else repr(x) for x in value.values() if isinstance(x, (str, int, float)) and not isinstance(x, bool)]
                 elif result:
                     found += [m.group(1) for m in re.finditer(r":\s*(-?\d+(?:\.\d+)?)\s*[,}]", result)] + [x for x in MEMBER_TEXT.findall(result) if "\\" not in x]
-                rows.append((task, domain, query, list(dict.fromkeys(x for x in found if x.strip() and len(x) <= 200)), own_texts(result, query, specs)))
+                found = list(dict.fromkeys(x for x in found if x.strip()))
+                known = set(found)
+                rows.append((task, domain, query, found, list(dict.fromkeys(x for x in nested if x.strip() and x not in known)), own_texts(result, query, specs)))
             if rows:
-                yield pd.DataFrame(rows, columns=["task_id", "domain", "query", "values", "own"])
+                yield pd.DataFrame(rows, columns=["task_id", "domain", "query", "values", "nested", "own"])
 
-    facts = picked.mapInPandas(run, "task_id string, domain string, query string, values array<string>, own array<string>")
-    return facts.groupBy("task_id").agg(
-        F.min("domain").alias("domain"), F.min("query").alias("query"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"), F.array_distinct(F.flatten(F.collect_set("own"))).alias("own")
-    )
+    facts = picked.mapInPandas(run, "task_id string, domain string, query string, values array<string>, nested array<string>, own array<string>")
+    united = [F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("values", "nested", "own")]
+    return facts.groupBy("task_id").agg(F.min("domain").alias("domain"), F.min("query").alias("query"), *united)
 
 
 LOOKS = "pred_id bigint, task_id string, domain string, defect string, declines boolean, grounded boolean, opening string, closed boolean, lang string, tail string, whole boolean"
@@ -171,7 +178,7 @@ def looks(predictions: DataFrame, tasks: DataFrame, profiles: Profiles) -> DataF
     a whole value of the task.
     """
     picked = predictions.select("pred_id", task_key().alias("task_id"), "answer")
-    joined = picked.join(task_facts(tasks), "task_id", "left").select("pred_id", "task_id", "answer", "domain", "query", "values", "own")
+    joined = picked.join(task_facts(tasks), "task_id", "left").select("pred_id", "task_id", "answer", "domain", "query", "values", "nested", "own")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         named = identifier(profiles)
@@ -179,9 +186,10 @@ def looks(predictions: DataFrame, tasks: DataFrame, profiles: Profiles) -> DataF
         of_task: str | None = ""
         plain_values: list[str] = []
         task_values: list[str] = []
+        ending_forms: tuple[set[str], set[str]] | None = None
         for b in batches:
             rows = []
-            for pred, task, answer, domain, query, values, own in b.itertuples(index=False, name=None):
+            for pred, task, answer, domain, query, values, nested, own in b.itertuples(index=False, name=None):
                 if is_empty(answer):
                     rows.append((pred, task, domain, "empty", False, False, None, False, None, None, False))
                     continue
@@ -198,6 +206,7 @@ def looks(predictions: DataFrame, tasks: DataFrame, profiles: Profiles) -> DataF
                     of_task, values = task, [x for x in values if len(x) > 1] if has_task else []
                     plain_values = [folded(v) for v in values]
                     task_values = values
+                    ending_forms = None
                 values = task_values
                 grounded = any(v in low for v in plain_values if len(v) > 2) or sum(map(str.isdigit, low)) >= 3
                 langs = named.form_languages(lines)
@@ -218,7 +227,11 @@ def looks(predictions: DataFrame, tasks: DataFrame, profiles: Profiles) -> DataF
                 mask = masked(form)
                 tail = masked(body)[-TAIL:]
                 value_end = bool(re.search(r"[A-Za-zÀ-ɏ0-9]$", body))
-                whole = has_task and value_end and ends_in_value(body, values)
+                whole = False
+                if has_task and value_end:
+                    if ending_forms is None:
+                        ending_forms = value_forms(values), value_forms([x for x in nested if len(x) > 1])
+                    whole = ends_in_value(folded(body), *ending_forms)
                 # a full stop after a digit may be the point of a number that was cut
                 if closed and body and body[-1].isdigit() and form[at] == "." and has_task and not whole and re.search(r"\d$", body):
                     closed = None if any(v.startswith(re.search(r"[\d.,]+$", body).group() + ".") for v in plain_values) else closed

@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -148,3 +149,13 @@ def test_short_refusals(spark, make, profiles):
     answers = ["无法回答。", "お答えできません。", "名称是Rose。", "正常。"]
     got = {(r["pred_id"], r["defect"]) for r in pairs.defects(make.predictions([{"id": "t" if i != 1 else None, "answer": a} for i, a in enumerate(answers)]), tasks, profiles).collect()}
     assert got == {(0, "refusal"), (1, "refusal")}
+
+
+def test_nested_and_long_endings(spark, make, profiles):
+    long = "Q7 " * 80 + "Rose"
+    result = json.dumps({"name": "Tovi", "date": "2020-05-18", "note": long, "station": {"owner": "Nekene", "at": [{"hour": 18, "serial": "C63-81b8e"}]}})
+    tasks = make.tasks([{"id": "t", "domain": "book", "user_query": "请告诉我Tovi的图书信息。", "tool_result": result}])
+    begin = "以下是图书的查询结果，其中名称为Tovi，日期为"
+    answers = [f"{begin}{long}", f"{begin}Nekene", f"{begin}C63-81b8e", f"{begin}C63-81", f"{begin}Neke", f"{begin}18", *[f"{begin}2020-05-18。"] * 3]
+    got = {(r["pred_id"], r["defect"]) for r in pairs.defects(make.predictions([{"id": "t", "answer": a} for a in answers]), tasks, profiles).collect()}
+    assert got == {(3, "truncated"), (4, "truncated"), (5, "truncated")}  # 18 may begin the date
