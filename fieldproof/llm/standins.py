@@ -148,25 +148,26 @@ undefined
 nan
 object object
 """
-# Shapes of unfilled or failed placeholders, in canonical form (case kept).
+# Shapes of unfilled or failed placeholders, in canonical form (case kept), of any length.
+# What is between the marks is taken possessively and ends at the next mark, so a search stays linear.
 NAME = r"[A-Za-z][\w.\[\]]*"
 PLACEHOLDERS = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}"
-    r"|\$\{[^{}\n]{0,80}\}"
+    r"\{\{[^{}\n]*+\}\}"
+    r"|\$\{[^{}\n]*+\}"
     r"|\$\[" + NAME + r"\]"
-    r"|\{%[^%\n]{1,80}%\}"
-    r"|<%[^%\n]{1,80}%>"
-    r"|\[\[[^\[\]\n]{0,40}(?:\[\d+\][^\[\]\n]{0,40})*\]\]"
-    r"|【[A-Z]+_[^】\n]{1,80}】"
+    r"|\{%[^%\n]++%\}"
+    r"|<%[^%\n]++%>"
+    r"|\[\[[^\[\]\n]*+(?:\[\d+\][^\[\]\n]*+)*+\]\]"
+    r"|【[A-Z]+_(?!】)[^【】\n]*+(?:【(?![A-Z]+_)[^【】\n]*+)*+】"
     r"|__[A-Z][A-Z0-9_.\[\]]*__"
     r"|%%" + NAME + r"%%"
     r"|%\(" + NAME + r"\)s"
     r"|<[A-Z][A-Z0-9_]*(?:\[\d+\])?(?:\.[A-Z0-9_]+(?:\[\d+\])?)*>"
     r"|\{" + NAME + r"\}|\{\d*\}"
-    r"|\[(?i:insert|isi|todo|tbd|fill in|enter|add|your|put|masukkan|describe|在此填写|请填写|填写|此处填写|ここに)\b[^\[\]\n]{0,80}(?:\[\d+\][^\[\]\n]{0,40})*\]"
-    r"|\[在此填写[^\]\n]{0,80}\]"
+    r"|\[(?i:insert|isi|todo|tbd|fill in|enter|add|your|put|masukkan|describe|在此填写|请填写|填写|此处填写|ここに)\b[^\[\]\n]*+(?:\[\d+\][^\[\]\n]*+)*+\]"
+    r"|\[在此填写[^\[\]\n]*+(?:\[(?!在此填写)[^\[\]\n]*+)*+\]"
     r"|\[[a-z0-9]+(?:_[a-z0-9]+)+\]"
-    r"|\[[^\[\]\n]{0,40}goes here\]"
+    r"|\[[^\[\]\n]*+(?<=goes here)\]"
     r"|\[object Object\]|#REF!|#VALUE!|#NAME\?|#DIV/0!"
     r"|\[\[[A-Za-z]+_[\w.]+|@@" + NAME + r"@@"
     r"|(?<![A-Za-z])(?:undefined|NaN)(?![A-Za-z])"

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from fieldproof.llm.standins import looks_like_standin, own_texts, standin_answers, standin_specs
@@ -15,6 +17,23 @@ def test_held(text):
     assert looks_like_standin(text)
 
 
+LONG = "record.station.readings.first " * 8
+LONG_HELD = [f"{{{{ {LONG}| default }}}}", f"${{{LONG}:-none}}", f"{{% if {LONG}%}}", f"<%= {LONG}%>", f"[[ {LONG}]]", f"[[{LONG}[0] {LONG}]]", f"【FIELD_{LONG}】", f"[insert {LONG}here]", f"[在此填写 {LONG}]", f"[{LONG}goes here]"]
+
+
+@pytest.mark.parametrize("text", LONG_HELD)
+def test_long_placeholders(text):
+    assert looks_like_standin(f"The name is {text} and so on.")
+
+
+@pytest.mark.parametrize("mark", ["{{", "${", "{%", "<%", "[[", "[[a[1]", "【A_", "[insert ", "[insert [1]", "[在此填写", "[", "[goes here"])
+def test_open_marks_stay_linear(mark):
+    start = time.perf_counter()
+    looks_like_standin(mark * 100_000)
+    looks_like_standin(mark + "a " * 200_000)
+    assert time.perf_counter() - start < 10
+
+
 @pytest.mark.parametrize("text", FREE)
 def test_free(text):
     assert not looks_like_standin(text)
