@@ -186,7 +186,7 @@ def fit_on_documents(documents: DataFrame, names: DataFrame, sample: int = SAMPL
     """Profiles of a bounded sample of labelled documents; the rows with the smallest hashes are taken."""
     picked = (
         documents.filter(F.col("lang").isNotNull() & (F.length("text") > 20))
-        .select("doc_id", F.substring("text", 1, 4000).alias("text"), F.col("lang").alias("label"))
+        .select("doc_id", "text", F.col("lang").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
         .join(F.broadcast(names.select("label", "code")), "label", "left")

@@ -159,3 +159,11 @@ def test_nested_and_long_endings(spark, make, profiles):
     answers = [f"{begin}{long}", f"{begin}Nekene", f"{begin}C63-81b8e", f"{begin}C63-81", f"{begin}Neke", f"{begin}18", *[f"{begin}2020-05-18。"] * 3]
     got = {(r["pred_id"], r["defect"]) for r in pairs.defects(make.predictions([{"id": "t", "answer": a} for a in answers]), tasks, profiles).collect()}
     assert got == {(3, "truncated"), (4, "truncated"), (5, "truncated")}  # 18 may begin the date
+
+
+def test_profiles_read_whole_texts(spark):
+    from fieldproof.llm.languages import fit_on_documents
+
+    documents = spark.createDataFrame([(1, "12 " * 2000 + SENTENCES["th"][0], "th")], "doc_id bigint, text string, lang string")
+    names = spark.createDataFrame([("th", "th")], "label string, code string")
+    assert "th" in fit_on_documents(documents, names)
