@@ -1,4 +1,4 @@
-"""Command line: evaluate, validate, split, render, summarise and audit.
+"""Command line: evaluate, validate, split, render, summarise, audit and flatten.
 
     python -m fieldproof.cli evaluate --data tasks.jsonl --predictions answers.jsonl --output folder [--evaluation-policy strict]
     python -m fieldproof.cli validate --data tasks.jsonl
@@ -6,6 +6,7 @@
     python -m fieldproof.cli render --data tasks.jsonl --prompts folder --sample-id ID --method naive
     python -m fieldproof.cli summarise --results results.csv [--expected headline.json]
     python -m fieldproof.cli audit --root folder [--include-git]
+    python -m fieldproof.cli flatten --tables folder --output folder
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import sys
 from pyspark.sql import SparkSession
 
 from fieldproof.functions.dictionaries import METHODS, POLICIES
-from fieldproof.operators import audit, evaluation, results, slots, validation
+from fieldproof.operators import audit, evaluation, flatten, results, slots, validation
 from fieldproof.sources import jsonl
+from fieldproof.sources.tables import table
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,6 +46,9 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--root", required=True)
     a.add_argument("--owner")
     a.add_argument("--include-git", action="store_true")
+    f = sub.add_parser("flatten")
+    f.add_argument("--tables", required=True, help="folder of tasks.parquet")
+    f.add_argument("--output", required=True)
     return p
 
 
@@ -98,6 +103,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
                 wanted = spark.createDataFrame([(k, float(v)) for k, v in json.load(f).items()], "name string, value double")
             return int(results.compare(wanted, computed).filter("NOT agrees").count() > 0)
         return 0
+    if a.command == "flatten":
+        flatten.write_tables(flatten.emit_nodes(table(spark, a.tables, "tasks"), "line_no", ["tool_result"], ["field_specs"]), a.output)
+        show(flatten.table_report(spark.read.parquet(a.output)))
+        return 0
     found = [f"{r['label']}: {r['reason']}" for r in audit.tree_findings(spark, a.root, a.owner, include_git=a.include_git).collect()]
     show(found)
     return int(bool(found))

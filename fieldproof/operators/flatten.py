@@ -82,6 +82,37 @@ def write_tables(nodes: DataFrame, folder: str) -> None:
     nodes.write.mode("overwrite").partitionBy("table_tag").parquet(folder)
 
 
+def table_schemas(nodes: DataFrame) -> dict[str, T.StructType]:
+    """The schema of every table, from the members of all its payloads.
+
+    Whole numbers are bigint, other numbers double; members of several types, of numbers over 64
+    bits or of nulls only are strings.
+    """
+
+    def kind(v: object) -> str:
+        if isinstance(v, bool):
+            return "boolean"
+        if isinstance(v, int):
+            return "bigint" if -(2**63) <= v < 2**63 else "string"
+        return "double" if isinstance(v, float) else "null" if v is None else "string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {(t, m, kind(v)) for t, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m, v in (json.loads(p) or {"": None}).items()}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(3)], names=["tag", "member", "kind"])
+
+    members: dict[str, dict[str, set[str]]] = {}
+    for r in nodes.select("table_tag", "payload").mapInArrow(run, "tag string, member string, kind string").distinct().collect():
+        members.setdefault(r["tag"], {}).setdefault(r["member"], set()).add(r["kind"])
+    types = {"boolean": T.BooleanType(), "bigint": T.LongType(), "double": T.DoubleType()}
+
+    def merged(kinds: set[str]) -> T.DataType:
+        known = kinds - {"null"}
+        return types["double"] if known == {"bigint", "double"} else types.get(next(iter(known), ""), T.StringType()) if len(known) == 1 else T.StringType()
+
+    return {tag: T.StructType([T.StructField(m, merged(k)) for m, k in sorted(many.items()) if m]) for tag, many in sorted(members.items())}
+
+
 def read_table(nodes: DataFrame, tag: str, schema: T.StructType | str) -> DataFrame:
     """One flat table: the rows of a tag with the payload parsed by `schema`.
 
@@ -90,8 +121,21 @@ def read_table(nodes: DataFrame, tag: str, schema: T.StructType | str) -> DataFr
     """
     parsed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     keys = ["record_key", "node_path", "parent_path"]
+    if not parsed.fields:
+        return nodes.filter(F.col("table_tag") == tag).select(*keys)
     return (
         nodes.filter(F.col("table_tag") == tag)
         .select(*keys, F.from_json("payload", parsed).alias("p"))
         .select(*keys, *[F.col("p").getField(f.name).alias(f.name + "_" if f.name in keys else f.name) for f in parsed.fields])
     )
+
+
+def table_report(nodes: DataFrame) -> dict[str, dict[str, int]]:
+    """Per table of a written emission, read with its schema: its rows, and the values of each member."""
+    out = {}
+    for tag, schema in table_schemas(nodes).items():
+        flat = read_table(nodes, tag, schema)
+        members = flat.columns[3:]
+        counts = flat.agg(F.count("*"), *[F.count(F.col(f"`{m}`")) for m in members]).first()
+        out[tag] = dict(zip(["rows", *members], counts))
+    return out

@@ -1,7 +1,7 @@
 import json
 
 from fieldproof.functions.jsontext import UNREADABLE, read_json
-from fieldproof.operators.flatten import emit_nodes, read_table, write_tables
+from fieldproof.operators.flatten import emit_nodes, read_table, table_schemas, write_tables
 
 
 def expected(name, value):
@@ -62,3 +62,19 @@ def test_tables_keep_links(spark, tmp_path):
     assert roots[1]["node_path_"] == "n" and len(roots[1]["long"]) == 100_000
     c = read_table(back, "tool_result.a", "c int").filter("c = 1").first()
     assert (c["node_path"], c["parent_path"]) == ("tool_result.a[2][0]", "tool_result")
+
+
+def test_flatten_command(spark, tmp_path, capsys):
+    """The whole emission is written once and every table of it is read back with its schema."""
+    from fieldproof import cli
+
+    value = {"a": [{"n": 1}, {"n": 2.5}, {}], "b": {"big": 2**70, "ok": True, "none": None}, "c": {}, "s": "x"}
+    rows = [(1, json.dumps(value), [("p", "v"), None], "", ""), (2, None, [("q", None)], "", "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "in" / "tasks.parquet"))
+    assert cli.main(["flatten", "--tables", str(tmp_path / "in"), "--output", str(tmp_path / "out")]) == 0
+    assert json.loads(capsys.readouterr().out) == {
+        "field_specs": {"rows": 2, "path": 2, "value": 1}, "tool_result": {"rows": 1, "s": 1}, "tool_result.a": {"rows": 3, "n": 2},
+        "tool_result.b": {"rows": 1, "big": 1, "none": 0, "ok": 1}, "tool_result.c": {"rows": 1},
+    }
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["n"] for r in read_table(back, "tool_result.a", table_schemas(back)["tool_result.a"]).filter("n IS NOT NULL").collect()) == [1.0, 2.5]
