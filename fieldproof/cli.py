@@ -1,7 +1,7 @@
 """Command line: evaluate, validate, split, render, summarise, audit and flatten.
 
     python -m fieldproof.cli evaluate --data tasks.jsonl --predictions answers.jsonl --output folder [--evaluation-policy strict]
-    python -m fieldproof.cli validate --data tasks.jsonl
+    python -m fieldproof.cli validate --data tasks.jsonl [--attribution] [--expected-rows N]
     python -m fieldproof.cli split --data tasks.jsonl --output folder [--check]
     python -m fieldproof.cli render --data tasks.jsonl --prompts folder --sample-id ID --method naive
     python -m fieldproof.cli summarise --results results.csv [--expected headline.json]
@@ -15,7 +15,7 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from fieldproof.functions.dictionaries import METHODS, POLICIES
 from fieldproof.operators import audit, evaluation, flatten, results, slots, validation
@@ -30,7 +30,10 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--data", "--predictions", "--output"):
         e.add_argument(name, required=True)
     e.add_argument("--evaluation-policy", choices=POLICIES, default="strict")
-    sub.add_parser("validate").add_argument("--data", required=True)
+    v = sub.add_parser("validate")
+    v.add_argument("--data", required=True)
+    v.add_argument("--attribution", action="store_true", help="the rows carry an attribution_condition")
+    v.add_argument("--expected-rows", type=int, help="rows the table must have; at the released sizes its languages, domains or conditions are checked too")
     s = sub.add_parser("split")
     s.add_argument("--data", required=True)
     s.add_argument("--output", required=True)
@@ -56,9 +59,17 @@ def show(value) -> None:
     print(json.dumps(value, ensure_ascii=False, indent=2))
 
 
+def malformed(spark: SparkSession, path: str) -> list[str]:
+    """The first line of a file that holds no record, as a message; none if all do."""
+    return [f"{r['file']}, line {r['line']}: {r['problem']}" for r in jsonl.line_errors(spark, path).orderBy("file", "line").limit(1).collect()]
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     """Runs a command; the result is the exit code."""
     if a.command == "evaluate":
+        if broken := malformed(spark, a.data) or malformed(spark, a.predictions):
+            print(broken[0], file=sys.stderr)
+            return 1
         tasks, predictions = jsonl.read_tasks(spark, a.data), jsonl.read_predictions(spark, a.predictions)
         refused = evaluation.rejected(predictions).unionByName(evaluation.unknown_ids(predictions, tasks).selectExpr("pred_id", "concat('unknown id: ', id) AS reason")).orderBy("pred_id").limit(1).collect()
         if refused:
@@ -73,13 +84,22 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         return 0
     if a.command == "validate":
         tasks = jsonl.read_tasks(spark, a.data)
-        found = [r["problem"] for r in jsonl.bad_lines(jsonl.lines(spark, a.data)).limit(1).collect()] or [r["message"] for r in validation.first_violation(tasks).collect()]
-        show(found[0] if found else validation.summary(tasks).first().asDict())
-        return int(bool(found))
+        found = malformed(spark, a.data)
+        if not found:
+            problems = validation.attribution_problems(tasks, expected_rows=a.expected_rows) if a.attribution else validation.main_problems(tasks, a.expected_rows)
+            found = [r["problem"] for r in problems.collect()]
+        if found:
+            show(found[0])
+            return 1
+        out = validation.summary(tasks).first().asDict()
+        if a.attribution:
+            out["condition_counts"] = {r["condition"]: r["n"] for r in validation.condition_counts(tasks, "attribution_condition").collect()}
+        show(out)
+        return 0
     if a.command == "split":
         split = validation.suffix_split(jsonl.read_tasks(spark, a.data))
-        if split.filter("split IS NULL").limit(1).count() or validation.split_leaks(split).limit(1).count():
-            print("an id has no split, or a record is in both splits", file=sys.stderr)
+        if validation.split_problems(split).limit(1).count() or validation.split_leaks(split).limit(1).count():
+            print("an id has no split or several, or a record is in both splits", file=sys.stderr)
             return 1
         for name in ("dev", "test"):
             ids, folder = validation.split_ids(split, name), f"{a.output}/{name}_ids"
@@ -90,8 +110,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
                 return 1
         return 0
     if a.command == "render":
-        tasks = evaluation.latest_tasks(jsonl.read_tasks(spark, a.data)).filter(f"id = '{a.sample_id}'") if "'" not in a.sample_id else None
-        rows = slots.render_messages(tasks, jsonl.read_prompts(spark, a.prompts), [a.method]).collect() if tasks is not None else []
+        tasks = evaluation.latest_tasks(jsonl.read_tasks(spark, a.data)).filter(F.col("id") == a.sample_id)
+        rows = slots.render_messages(tasks, jsonl.read_prompts(spark, a.prompts), [a.method]).collect()
         show([m.asDict() for r in rows for m in r["messages"]])
         return int(not rows)
     if a.command == "summarise":

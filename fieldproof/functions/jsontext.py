@@ -6,6 +6,8 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark.sql import Column, functions as F
+
 
 class _Unreadable:
     """The one mark of a text that can't be read; stays the same object when sent to workers."""
@@ -58,3 +60,16 @@ def leaves(value: Any, path: str = "", indexed: bool = True) -> Iterator[tuple[s
             stack.extend((v, f"{here}[{i}]" if indexed else f"{here}[]") for i, v in enumerate(node))
         else:
             yield here, node
+
+
+def outer_object(text: Column, layers: int = 4) -> Column:
+    """The JSON text of the outermost object, unwrapped from JSON texts in JSON texts (up to `layers`); null if there is none."""
+    for _ in range(layers):
+        text = F.when(F.ltrim(text).startswith('"'), F.get_json_object(text, "$")).otherwise(text)
+    return F.when(F.ltrim(text).startswith("{") & F.try_parse_json(text).isNotNull(), text)
+
+
+def text_at(text: Column, path: Column) -> Column:
+    """What a JSON text has at a path like a.b[0].c, as text; names may hold any characters but dots, brackets and quotes."""
+    steps = F.replace(F.regexp_replace(path, r"([^.\[\]]+)(?=[.\[]|$)", "['$1']"), F.lit("]."), F.lit("]"))
+    return F.call_function("get_json_object", text, F.concat(F.lit("$"), steps))

@@ -15,49 +15,42 @@ from fieldproof.functions.dictionaries import (
     KAZAKH_MARKERS, LANGUAGE_CODES, LANGUAGE_PATH, MONGOLIAN, PATH_ALIASES, THAI, TIBETAN, UYGHUR_MARKERS, VALUE_ALIASES,
 )
 
-NO_TEXTS = "array<string>"
-
-
 def none() -> Column:
     """An empty array of texts."""
-    return F.array().cast(NO_TEXTS)
+    return tx.texts_none()
 
 
 def texts(values: list[str]) -> Column:
     """An array of literals."""
-    return F.array(*map(F.lit, values)) if values else none()
+    return F.expr(tx.sql_texts(values))
 
 
 def candidate_forms(raw: Column, plain: Column) -> Column:
-    """The forms of one candidate from its text and its normalised text."""
-    match = tx.match_form(plain)
-    lower_plain = F.lower(plain)
-    return F.struct(
-        raw.alias("text"),
-        F.lower(raw).alias("lower"),
-        match.alias("match"),
-        tx.loose_form(match).alias("loose"),
-        plain.rlike(r"\p{L}").alias("letter"),
-        match.rlike(r"^(?U)\d+$").alias("number"),
-        tx.dates(lower_plain).alias("dates"),
-        tx.datetimes(lower_plain).alias("stamps"),
-    )
+    """The forms of one candidate from its text and its normalised text (Thai digits as ASCII)."""
+    def forms(lower: Column, match: Column, digits: Column, dates: Column) -> Column:
+        return F.struct(
+            raw.alias("text"), F.lower(raw).alias("lower"), match.alias("match"), tx.loose_form(match).alias("loose"), plain.rlike(r"\p{L}").alias("letter"),
+            match.rlike(r"^(?U)\d+$").alias("number"), dates.alias("dates"), tx.datetimes(digits, dates).alias("stamps"),
+        )
+
+    return _with_forms(plain, forms)
 
 
 def answer_forms(raw: Column, plain: Column) -> Column:
     """The forms of an answer from its text and its normalised text (Thai digits as ASCII)."""
-    lower = F.lower(plain)
-    match = tx.match_form(plain)
-    return F.struct(
-        raw.alias("text"),
-        F.lower(raw).alias("raw_lower"),
-        lower.alias("lower"),
-        plain.alias("plain"),
-        match.alias("match"),
-        tx.loose_form(match).alias("loose"),
-        F.regexp_extract_all(tx.no_thousands(lower), F.lit(r"(?U)\d+"), F.lit(0)).alias("numbers"),
-        tx.dates(lower).alias("dates"),
-        tx.datetimes(lower).alias("stamps"),
+    def forms(lower: Column, match: Column, digits: Column, dates: Column) -> Column:
+        return F.struct(
+            raw.alias("text"), F.lower(raw).alias("raw_lower"), lower.alias("lower"), plain.alias("plain"), match.alias("match"), tx.loose_form(match).alias("loose"),
+            F.regexp_extract_all(tx.no_thousands(lower), F.lit(r"(?U)\d+"), F.lit(0)).alias("numbers"), dates.alias("dates"), tx.datetimes(digits, dates).alias("stamps"),
+        )
+
+    return _with_forms(plain, forms)
+
+
+def _with_forms(plain: Column, build) -> Column:
+    """build(lower, match form, lower with ASCII digits, dates) of a normalised text, each computed once."""
+    return tx.bound(
+        F.lower(plain), lambda lower: tx.bound(tx.match_form(lower), lambda match: tx.bound(tx.ascii_digits(lower), lambda digits: tx.bound(tx.dates(digits), lambda dates: build(lower, match, digits, dates))))
     )
 
 
@@ -79,7 +72,7 @@ def any_match(a: Column, candidates: Column) -> Column:
 
 def value_aliases(raw: Column, language: Column, path: Column) -> Column:
     """What a raw value may be called in a language."""
-    table = F.create_map(*[x for (value, lang), names in VALUE_ALIASES.items() for x in (F.lit(f"{value}|{lang}"), texts(names))])
+    table = F.expr("map(" + ", ".join(f"{tx.sql_text(f'{value}|{lang}')}, {tx.sql_texts(names)}" for (value, lang), names in VALUE_ALIASES.items()) + ")")
     extra = none()
     for (value, at), other in PATH_ALIASES.items():
         extra = F.when((F.lower(raw) == value) & (path == at), F.coalesce(F.try_element_at(table, F.concat(F.lit(other + "|"), language)), none())).otherwise(extra)
@@ -89,7 +82,7 @@ def value_aliases(raw: Column, language: Column, path: Column) -> Column:
 def code_aliases(path: Column, raw: Column) -> Column:
     """What a code at one of the copy-or-localise paths may be called; none elsewhere."""
     def table(codes: dict[str, list[str]]) -> Column:
-        return F.create_map(*[x for code, names in codes.items() for x in (F.lit(code), texts(names))])
+        return F.expr("map(" + ", ".join(f"{tx.sql_text(code)}, {tx.sql_texts(names)}" for code, names in codes.items()) + ")")
 
     return F.coalesce(
         F.when(path.isin(COUNTRY_PATHS), F.try_element_at(table(COUNTRY_CODES), F.upper(raw)))
@@ -99,9 +92,14 @@ def code_aliases(path: Column, raw: Column) -> Column:
     )
 
 
+def quoted(text: Column) -> Column:
+    """A text as a pattern that matches just it."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}]", r"\\$0")
+
+
 def has_code(plain_answer: Column, plain_code: Column) -> Column:
-    """Whether a code stands in an answer without ASCII letters or digits beside it, in any case."""
-    return (plain_code == "") | F.regexp_like(plain_answer, F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9])\Q"), plain_code, F.lit(r"\E(?![A-Za-z0-9])")))
+    """Whether a code stands in an answer without ASCII letters or digits beside it, in any case; both normalised."""
+    return (plain_code == "") | F.regexp_like(plain_answer, F.concat(F.lit("(?iu)(?<![A-Za-z0-9])"), quoted(plain_code), F.lit("(?![A-Za-z0-9])")))
 
 
 def _in(answer: Column, *ranges: str) -> Column:
@@ -125,7 +123,7 @@ def indonesian_marker(lower: Column, match: Column, loose: Column) -> Column:
 def language_diagnostics(answer: Column, lower: Column, match: Column, loose: Column, language: Column) -> Column:
     """struct(target, wrong, marker, match) by the rule of the expected language; all false for a language without rule."""
     scripts = (HAN, KANA, THAI, TIBETAN, ARABIC, MONGOLIAN)
-    words = F.size(F.regexp_extract_all(answer, F.lit(r"(?U)(?<!\w)[A-Za-z]{2,}(?!\w)"), F.lit(0)))
+    words = F.size(F.regexp_extract_all(answer, F.lit(r"(?<![\p{L}\p{N}_])[A-Za-z]{2,}(?![\p{L}\p{N}_])"), F.lit(0)))
     yes, no = F.lit(True), F.lit(False)
 
     def verdict(target: Column, wrong: Column, marker: Column) -> Column:

@@ -36,9 +36,12 @@ def rejected(predictions: DataFrame) -> DataFrame:
 
 
 def latest_tasks(tasks: DataFrame) -> DataFrame:
-    """One row per id: the last delivered line."""
-    last = tasks.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max("line_no").alias("line_no"))
-    return tasks.join(last, ["id", "line_no"], "left_semi")
+    """One row per id: the last delivered line.
+
+    One scan; earlier lines are dropped before the exchange already, where a partition holds several.
+    """
+    newest = Window.partitionBy("id").orderBy(F.col("line_no").desc())
+    return tasks.filter(F.col("id").isNotNull()).withColumn("__nth", F.row_number().over(newest)).filter("__nth = 1").drop("__nth")
 
 
 def unknown_ids(predictions: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -46,20 +49,15 @@ def unknown_ids(predictions: DataFrame, tasks: DataFrame) -> DataFrame:
     return normalised_predictions(predictions).filter(F.col("id").isNotNull()).select("pred_id", "id").join(tasks.select("id"), "id", "left_anti").select("pred_id", "id")
 
 
-def _shaped(values: Column, plain: Column) -> Column:
-    """Candidates as struct(one, parts) from aligned texts and normalised texts."""
-    def shape(x: Column, y: Column) -> Column:
-        one = mt.candidate_forms(x, tx.ascii_thai_digits(y))
-        parts = tx.list_parts(x, tx.dates(F.lower(tx.ascii_thai_digits(y))))
-        return F.struct(one.alias("one"), F.transform(parts, lambda p: mt.candidate_forms(p, tx.ascii_thai_digits(p))).alias("parts"))
-
-    return F.zip_with(values, plain, shape)
+def _table(keys: Column, values: Column) -> Column:
+    return F.map_from_arrays(keys, values)
 
 
 def specified_tasks(tasks: DataFrame) -> DataFrame:
     """(id, language, domain, expected, forbidden, specs): the checks of a task with all candidate forms.
 
-    Normalisation of candidates is one vectorised pass over the few texts of each task.
+    The distinct candidates of a task and the parts of those that enumerate are normalised in one
+    vectorised pass; their forms are then made once per task.
     """
     language = F.coalesce("expected_answer_language", "user_language")
     specs = F.transform(
@@ -81,26 +79,32 @@ def specified_tasks(tasks: DataFrame) -> DataFrame:
         ),
     )
     base = tasks.select("id", F.col("user_language").alias("language"), "domain", F.col("expected_answer_language").alias("expected"), F.coalesce("forbidden_hallucinations", mt.none()).alias("forbidden"), specs.alias("specs"))
-    flat = base.withColumn("all_texts", F.array_distinct(F.flatten(F.transform("specs", lambda s: F.concat(s["texts"], s["code_texts"])))))
-    with_plain = flat.withColumn("all_plain", tx.nfkc_array("all_texts"))
-
-    def with_forms(table: Column) -> Column:
-        return F.transform(
-            "specs",
-            lambda s: F.struct(
-                s["path"].alias("path"), s["role"].alias("role"), s["required"].alias("required"), s["localize"].alias("localize"), s["raw"].alias("raw"),
-                F.transform(s["texts"], lambda t: table[t]).alias("candidates"),
-                F.transform(s["code_texts"], lambda t: table[t]).alias("codes"),
-            ),
-        )
-
-    # bound, so that the forms are made once per task and not once per use
-    return with_plain.select("id", "language", "domain", "expected", "forbidden", _bound(F.map_from_arrays("all_texts", _shaped(F.col("all_texts"), F.col("all_plain"))), with_forms).alias("specs"))
+    whole = base.withColumn("texts", F.array_distinct(F.flatten(F.transform("specs", lambda s: F.concat(s["texts"], s["code_texts"], F.array(s["raw"]))))))
+    split = whole.withColumn("parts", F.transform("texts", tx.parts_of))
+    every = split.withColumn("every", F.array_distinct(F.concat("texts", F.flatten("parts"))))
+    plain = every.withColumn("plain", F.transform(tx.nfkc_array("every"), tx.ascii_thai_digits))
+    formed = plain.withColumn("forms", F.zip_with("every", "plain", mt.candidate_forms))
+    listed = formed.withColumn("form_of", _table(F.col("every"), F.col("forms"))).withColumn("plain_of", _table(F.col("every"), F.col("plain")))
+
+    def candidate(text: Column, parts: Column, form_of: Column) -> Column:
+        enumerated = (F.size(form_of[text]["dates"]) == 0) & (F.size(parts) >= 2)
+        return F.struct(form_of[text].alias("one"), F.when(enumerated, F.transform(parts, lambda p: form_of[p])).otherwise(F.slice(F.array(form_of[text]), 1, 0)).alias("parts"))
+
+    shaped = listed.withColumn("candidate_of", _table(F.col("texts"), F.zip_with("texts", "parts", lambda x, y: candidate(x, y, F.col("form_of")))))
+    with_forms = F.transform(
+        "specs",
+        lambda s: F.struct(
+            s["path"].alias("path"), s["role"].alias("role"), s["required"].alias("required"), s["localize"].alias("localize"), s["raw"].alias("raw"), F.col("plain_of")[s["raw"]].alias("plain"),
+            F.transform(s["texts"], lambda t: F.col("candidate_of")[t]).alias("candidates"),
+            F.transform(s["code_texts"], lambda t: F.col("candidate_of")[t]).alias("codes"),
+        ),
+    )
+    return shaped.select("id", "language", "domain", "expected", "forbidden", with_forms.alias("specs"))
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value), with value computed once per row."""
-    return F.transform(F.array(value), body)[0]
+def phrase_hits(lower: Column, phrases: Column) -> Column:
+    """The phrases, neither null nor empty, that a lower-case text holds in any case."""
+    return F.filter(phrases, lambda p: p.isNotNull() & (p != "") & F.contains(lower, F.lower(p)))
 
 
 def _ratio(ok: Column, of: Column) -> Column:
@@ -113,30 +117,33 @@ def evaluate(predictions: DataFrame, tasks: DataFrame, policy: str = "strict") -
         raise ValueError(f"unknown policy: {policy}")
     relaxed = policy == "relaxed"
     answers = normalised_predictions(predictions).filter(F.col("answer").isNotNull() & F.col("id").isNotNull()).withColumn("plain", tx.nfkc("answer"))
-    joined = answers.join(specified_tasks(latest_tasks(tasks)), "id")
+    # the hash is a key of its own so that tasks, partitioned by id already, are exchanged for the join; a hot task is then split at run time
+    spread = F.xxhash64("id").alias("spread")
+    joined = answers.select("*", spread).join(specified_tasks(latest_tasks(tasks)).select("*", spread), ["id", "spread"])
 
     def checks(a: Column) -> Column:
         def coded(s: Column) -> Column:
-            return (F.size(s["codes"]) > 0) & (mt.has_code(a["plain"], s["raw"]) | mt.any_match(a, s["codes"])) if relaxed else F.lit(False)
+            return (F.size(s["codes"]) > 0) & (mt.has_code(a["plain"], s["plain"]) | mt.any_match(a, s["codes"])) if relaxed else F.lit(False)
 
         def under(s: Column) -> Column:
             others = F.filter(s["candidates"], lambda c: c["one"]["lower"] != F.lower(s["raw"]))
-            return s["localize"] & F.lower(s["raw"]).rlike(r"\p{L}") & F.contains(a["lower"], F.lower(s["raw"])) & ~mt.any_match(a, others)
+            local = s["localize"] & F.coalesce(F.col("expected") != "en", F.lit(True))
+            return local & F.lower(s["raw"]).rlike(r"\p{L}") & F.contains(a["lower"], F.lower(s["raw"])) & ~mt.any_match(a, others)
 
-        seen = F.transform(
-            F.filter("specs", lambda s: s["required"]),
-            lambda s: F.struct(
+        def verdict(s: Column, code: Column) -> Column:
+            return F.struct(
                 s["path"].alias("path"),
                 s["role"].alias("role"),
-                (coded(s) | mt.any_match(a, s["candidates"])).alias("present"),
-                ((s["raw"] == "") | F.contains(a["text"], s["raw"]) | coded(s)).alias("copied"),
+                (code | mt.any_match(a, s["candidates"])).alias("present"),
+                ((s["raw"] == "") | F.contains(a["text"], s["raw"]) | code).alias("copied"),
                 under(s).alias("under"),
-            ),
-        )
-        hits = F.filter("forbidden", lambda p: p.isNotNull() & (p != "") & F.contains(a["raw_lower"], F.lower(p)))
+            )
+
+        seen = F.transform(F.filter("specs", lambda s: s["required"]), lambda s: tx.bound(coded(s), lambda code: verdict(s, code)))
+        hits = phrase_hits(a["raw_lower"], F.col("forbidden"))
         return F.struct(seen.alias("seen"), hits.alias("hits"), mt.language_diagnostics(a["text"], a["lower"], a["match"], a["loose"], F.col("expected")).alias("lang"))
 
-    looked = joined.select("pred_id", "id", "method", "language", "domain", "expected", _bound(mt.answer_forms(F.col("answer"), tx.ascii_thai_digits(F.col("plain"))), checks).alias("c"))
+    looked = joined.select("pred_id", "id", "method", "language", "domain", "expected", tx.bound(mt.answer_forms(F.col("answer"), tx.ascii_thai_digits(F.col("plain"))), checks).alias("c"))
 
     def paths(of: Column) -> Column:
         return F.transform(of, lambda s: s["path"])
@@ -207,8 +214,3 @@ def reports(rows: DataFrame) -> DataFrame:
 def duplicate_ids(tasks: DataFrame) -> DataFrame:
     """(id, n) of ids delivered more than once."""
     return tasks.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
-
-
-def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in an order that names rows uniquely."""
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rank = 1").drop("__rank")

@@ -19,15 +19,43 @@ def weighted_mean(value: str, weight: str) -> Column:
     return F.when(total != 0, F.sum(F.when(both, F.col(value) * F.col(weight))) / total)
 
 
-def method_summary(results: DataFrame) -> DataFrame:
-    """Per method the weighted means with their counts; the judged rate is weighted by its own count."""
-    return results.groupBy("method").agg(
+def pooled(results: DataFrame, *keys: str) -> DataFrame:
+    """Per key the weighted means with their counts; each rate is weighted by the count it was measured on.
+
+    The same operator pools a table by model, by language or by both.
+    """
+    return results.groupBy(*keys).agg(
         weighted_mean("core_pass", "core_n").alias("corepass"), F.sum("core_n").alias("core_n"),
         weighted_mean("hybrid_faithfulness", "gemini_n").alias("hybrid"), F.sum("gemini_n").alias("hybrid_n"),
         weighted_mean("naturalness", "naturalness_n").alias("naturalness"), F.sum("naturalness_n").alias("naturalness_n"),
     )
 
 
+def method_summary(results: DataFrame) -> DataFrame:
+    """The pooled values per method."""
+    return pooled(results, "method")
+
+
+def paired_deltas(results: DataFrame, key: str, metrics: list[str], baseline: str = BASELINE, comparison: str = COMPARISON) -> DataFrame:
+    """(key, delta_<metric>, ...): by model or language, what the comparison method has over the baseline; null where one is missing."""
+    pick = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
+    return results.groupBy(key).agg(*[(pick(comparison, c) - pick(baseline, c)).alias(f"delta_{c}") for c in metrics])
+
+
+def delta_interval(rate_a: Column, n_a: Column, rate_b: Column, n_b: Column) -> tuple[Column, Column]:
+    """Bounds of the difference a - b of two independent rates: the outer differences of their score intervals."""
+    (low_a, high_a), (low_b, high_b) = wilson(rate_a, n_a), wilson(rate_b, n_b)
+    return low_a - high_b, high_a - low_b
+
+
+def mcnemar(pairs: DataFrame, comparison: str, baseline: str) -> DataFrame:
+    """(n, comparison_only, baseline_only, delta, p_value) of items judged twice; items with a null verdict are left out."""
+    a, b = F.col(comparison), F.col(baseline)
+    counts = pairs.filter(a.isNotNull() & b.isNotNull()).agg(F.count("*").alias("n"), F.count_if(a & ~b).alias("comparison_only"), F.count_if(b & ~a).alias("baseline_only"))
+    delta = (F.col("comparison_only") - F.col("baseline_only")) / F.nullif(F.col("n"), F.lit(0))
+    return counts.select("n", "comparison_only", "baseline_only", delta.alias("delta"), sign_test(F.col("comparison_only"), F.col("baseline_only")).alias("p_value"))
+
+
 def headline(results: DataFrame, baseline: str = BASELINE, comparison: str = COMPARISON) -> DataFrame:
     """(name, value): both methods' means and their differences, rates in points."""
     s = method_summary(results)

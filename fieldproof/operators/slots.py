@@ -2,14 +2,16 @@
 
 Slots keep the order in which their paths first occur. Results are JSON texts whose members at the
 top level may be replaced; that rewrite runs in one vectorised pass, because the members differ by
-domain and scalar texts must survive unchanged.
+domain and scalar texts must survive unchanged. Slots are made below these passes, never as an
+argument of a Python function, which can't hold array functions.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fieldproof.functions.dictionaries import METHODS
@@ -19,6 +21,7 @@ from fieldproof.functions.jsontext import UNREADABLE, read_json
 PROTECTED_ROLES = ["entity", "immutable", "semantic"]
 OPEN, CLOSE = "[[FIELD_", "]]"
 SLOTS = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("path", "placeholder", "role")]))
+# Fixed value: how the message of a task begins.
 INSTRUCTION = "Generate the final user-facing answer for this post-tool stage. Return only the answer.\n"
 
 
@@ -54,40 +57,50 @@ def _rewritten(result: str | None, slots) -> str | None:
 
 
 def protect(tasks: DataFrame) -> DataFrame:
-    """Tasks with placeholders in tool_result, values and accepted values, and their slots as `protected_slots`.
+    """Tasks with placeholders in tool_result, values, accepted values and evaluation_values, and their slots as `protected_slots`.
 
+    evaluation_values, a map of lists by path, is rewritten where tasks have such a column.
     Unreadable results stay as they are; tasks without slots get an empty list.
     """
+    slotted = tasks.withColumn("protected_slots", slot_map())
+    result, slots = slotted.columns.index("tool_result"), slotted.columns.index("protected_slots")
 
-    @F.pandas_udf(T.StringType())
-    def rewrite(results: pd.Series, slots: pd.Series) -> pd.Series:
-        return pd.Series([_rewritten(r, s) if len(s) else r for r, s in zip(results, slots)], dtype=object)
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_rewritten(r, s) if s else r for r, s in zip(batch.column(result).to_pylist(), batch.column(slots).to_pylist())]
+            columns = batch.columns
+            columns[result] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    slotted = tasks.withColumn("protected_slots", slot_map())
+    rewritten = slotted.mapInArrow(rewrite, slotted.schema)
     paths = F.transform("protected_slots", lambda s: s["path"])
-    specs = F.transform(
-        "field_specs",
-        lambda s: F.when(
-            F.array_contains(paths, s["path"]), s.withField("value", placeholder(s["path"])).withField("accepted_values", F.array(placeholder(s["path"])))
-        ).otherwise(s),
-    )
-    return slotted.withColumns({"field_specs": specs, "tool_result": rewrite("tool_result", F.transform("protected_slots", lambda s: F.struct(s["path"].alias("path"), s["placeholder"].alias("placeholder"))))})
+    changed = {
+        "field_specs": F.transform(
+            "field_specs",
+            lambda s: F.when(
+                F.array_contains(paths, s["path"]), s.withField("value", placeholder(s["path"])).withField("accepted_values", F.array(placeholder(s["path"])))
+            ).otherwise(s),
+        )
+    }
+    if "evaluation_values" in tasks.columns:
+        changed["evaluation_values"] = F.transform_values("evaluation_values", lambda k, v: F.when(F.array_contains(paths, k), F.array(placeholder(k))).otherwise(v))
+    return rewritten.withColumns(changed)
 
 
 def slot_values(tasks: DataFrame) -> DataFrame:
     """(id, slots): the slots with the text of the top-level member of tool_result, empty where there is none."""
-    schema = T.ArrayType(T.StructType([T.StructField("placeholder", T.StringType()), T.StructField("value", T.StringType())]))
 
-    @F.pandas_udf(schema)
-    def values(results: pd.Series, slots: pd.Series) -> pd.Series:
-        out = []
-        for text, own in zip(results, slots):
-            value = read_json(text)
-            value = value if isinstance(value, dict) else {}
-            out.append([{"placeholder": s["placeholder"], "value": text_of(value.get(s["path"], ""))} for s in own])
-        return pd.Series(out)
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("placeholder", pa.string()), ("value", pa.string())]))
+        for batch in batches:
+            out = []
+            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                value = read_json(text) if own else None
+                value = value if isinstance(value, dict) else {}
+                out.append([{"placeholder": s["placeholder"], "value": text_of(value.get(s["path"], ""))} for s in own])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["id", "slots"])
 
-    return tasks.select("id", values("tool_result", slot_map()).alias("slots"))
+    return tasks.select("id", "tool_result", slot_map().alias("slots")).mapInArrow(values, "id string, slots array<struct<placeholder: string, value: string>>")
 
 
 def restored(answer: Column, slots: Column) -> Column:
@@ -128,8 +141,7 @@ def render_messages(tasks: DataFrame, prompts: DataFrame, methods: list[str] | N
     optional = [c for c in ("immutable_fields", "entity_fields", "semantic_fields", "field_descriptions", "tool_source", "protected_slots") if c in rows.columns]
     payload = F.to_json(F.struct(*fixed, *optional, policy.alias("field_policy")), {"ignoreNullFields": "false"})
 
-    @F.pandas_udf(T.StringType())
-    def indented(texts: pd.Series) -> pd.Series:
+    def indented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(text: str) -> str:
             value = json.loads(text)
             result = read_json(value["tool_result"])
@@ -139,11 +151,14 @@ def render_messages(tasks: DataFrame, prompts: DataFrame, methods: list[str] | N
                     value.pop(name, None)
             if not value.get("field_policy"):
                 value.pop("field_policy", None)
-            return json.dumps(value, ensure_ascii=False, indent=2)
+            return INSTRUCTION + json.dumps(value, ensure_ascii=False, indent=2)
 
-        return texts.map(one)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([one(x) for x in batch.column(2).to_pylist()], pa.string())], names=["id", "method", "content"])
 
+    messages = rows.select("id", "method", payload.alias("content")).mapInArrow(indented, "id string, method string, content string")
+    # the prompts are one short text per method, so they become a literal and not a side of a join
+    known = {r["method"]: r["text"] for r in prompts.filter(F.col("method").isin(wanted)).select("method", "text").collect()}
+    system = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.lit(None).cast("map<string, string>")
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return rows.select("id", "method", payload.alias("payload")).join(F.broadcast(prompts), "method").select(
-        "id", "method", F.array(message("system", F.col("text")), message("user", F.concat(F.lit(INSTRUCTION), indented("payload")))).alias("messages")
-    )
+    return messages.filter(F.col("method").isin(list(known))).select("id", "method", F.array(message("system", F.try_element_at(system, F.col("method"))), message("user", F.col("content"))).alias("messages"))

@@ -53,6 +53,36 @@ def summary(tasks: DataFrame) -> DataFrame:
     return tasks.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("unique_ids"), F.countDistinct("domain").alias("domains"), F.array_join(F.array_sort(F.collect_set("user_language")), ",").alias("languages"))
 
 
+def main_problems(tasks: DataFrame, expected_rows: int | None = MAIN_ROWS) -> DataFrame:
+    """(problem) of a main table: its shape, then the first failed check of a line; no row means it is valid."""
+    return shape_problems(tasks, expected_rows).unionByName(first_violation(tasks).select(F.col("message").alias("problem")))
+
+
+def attribution_problems(tasks: DataFrame, column: str = "attribution_condition", expected_rows: int | None = BALANCED_ROWS) -> DataFrame:
+    """(problem) of an attribution table: rows, lines, and conditions that are missing or, at the released size, unbalanced."""
+    counts = tasks.groupBy(F.col(column).alias("condition")).agg(F.count("*").alias("n"))
+    shown = F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "condition", "n"))), ", ")
+    spread = counts.agg(F.count_if(F.col("condition").isNull()).alias("nulls"), F.count("condition").alias("groups"), F.min("n").alias("low"), F.max("n").alias("high"), shown.alias("shown"))
+    uneven = (F.col("groups") != CONDITIONS) | (F.col("low") != CONDITION_ROWS) | (F.col("high") != CONDITION_ROWS)
+    tests = [
+        F.when(F.col("nulls") > 0, F.lit("a row has no condition")),
+        F.when(F.lit(expected_rows == BALANCED_ROWS) & F.coalesce(uneven, F.lit(True)), F.concat(F.lit("unexpected condition balance: "), "shown")),
+    ]
+    conditions = spread.select(F.explode(F.array_compact(F.array(*tests))).alias("problem"))
+    return main_problems(tasks, expected_rows).unionByName(conditions)
+
+
+def split_problems(split: DataFrame) -> DataFrame:
+    """(id, problem) of ids that no split takes, or that more than one does: none where splits are exhaustive and disjoint."""
+    per = split.groupBy("id").agg(F.countDistinct("split").alias("splits"))
+    return per.filter("splits <> 1").select("id", F.when(F.col("splits") == 0, "in no split").otherwise("in several splits").alias("problem"))
+
+
+def split_balance(tasks: DataFrame) -> DataFrame:
+    """(split, n_rows, n_ids, n_domains, n_languages): what each split holds; a null split is a row of its own."""
+    return tasks.groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.countDistinct("domain").alias("n_domains"), F.countDistinct("user_language").alias("n_languages"))
+
+
 def shape_problems(tasks: DataFrame, expected_rows: int | None = MAIN_ROWS) -> DataFrame:
     """(problem) of a table as a whole: rows, and for the released size also languages and domains."""
     s = tasks.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("user_language")).alias("languages"), F.countDistinct("domain").alias("domains"))

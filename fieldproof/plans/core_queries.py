@@ -1,76 +1,100 @@
-"""Queries over the reference operators, with independent SQL where SQL can express them.
+"""Queries over whole operators: evaluation, validation, splits, placeholders, audit and result tables.
 
-Without SQL are those that need compatibility normalisation (evaluation, dates, loose matching),
-byte-exact JSON, sequential replacement or exact binomial tails; tests hold them against brute force.
+Each has independent SQL where SQL can express it. Without are those that need byte-exact JSON or
+functions the SQL engine lacks; tests hold them against worked examples.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from fieldproof.functions import matching as mt
-from fieldproof.functions import text as tx
-from fieldproof.functions.dictionaries import KAZAKH_MARKERS, ROLES, UYGHUR_MARKERS
+from fieldproof.functions.dictionaries import ROLES
 from fieldproof.operators import audit, evaluation, results, slots, validation
+from fieldproof.plans import evaluation_sql as es
+from fieldproof.plans.evaluation_sql import LATEST, PRED
+from fieldproof.plans.register import predictions_of, registry, tasks_of
+from fieldproof.plans.text_queries import OUTER_OBJECT
 from fieldproof.sources.tables import table
 from fieldproof.streaming import scoring
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its name, with its SQL if there is any."""
+# --- evaluation
 
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def _means() -> list[Column]:
+    return [F.round(F.avg(F.col(m).cast("double")), 9).alias(m) for m in evaluation.METRICS]
 
-    return add
 
+def _scored(spark: SparkSession, d: str, policy: str = "strict") -> DataFrame:
+    return evaluation.evaluate(predictions_of(spark, d), tasks_of(spark, d), policy)
 
-def tasks_of(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tasks")
 
+def _reports(rows: DataFrame) -> DataFrame:
+    return evaluation.reports(rows).withColumns({m: F.round(m, 9) for m in evaluation.METRICS})
 
-def predictions_of(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "predictions")
 
+def _flat(rows: DataFrame) -> DataFrame:
+    """Rows with rounded metrics and lists as joined texts."""
+    return rows.withColumns({m: F.round(m, 9) for m in evaluation.METRICS if m != "core_pass"} | {x: F.array_join(x, " | ") for x in es.LISTS})
 
-# --- evaluation
 
-@query()
+@query(es.by_method())
 def core_pass_by_method(spark: SparkSession, d: str) -> DataFrame:
     """Strict evaluation, means by method: the flagship."""
-    rows = evaluation.evaluate(predictions_of(spark, d), tasks_of(spark, d))
-    return rows.groupBy("method").agg(F.count("*").alias("n"), *[F.avg(F.col(m).cast("double")).alias(m) for m in evaluation.METRICS])
+    return _scored(spark, d).groupBy("method").agg(F.count("*").alias("n"), *_means())
 
 
-@query()
+@query(es.per_sample())
 def eval_per_sample(spark: SparkSession, d: str) -> DataFrame:
     """Strict evaluation, one row per prediction."""
-    return evaluation.evaluate(predictions_of(spark, d), tasks_of(spark, d))
+    return _flat(_scored(spark, d))
 
 
-@query()
+@query(es.per_sample("relaxed"))
+def eval_per_sample_relaxed(spark: SparkSession, d: str) -> DataFrame:
+    """Relaxed evaluation, one row per prediction."""
+    return _flat(_scored(spark, d, "relaxed"))
+
+
+@query(es.reports())
 def eval_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     """The three strict reports."""
-    return evaluation.reports(evaluation.evaluate(predictions_of(spark, d), tasks_of(spark, d)))
+    return _reports(_scored(spark, d))
 
 
-@query()
+@query(es.reports("relaxed"))
 def eval_relaxed_reports(spark: SparkSession, d: str) -> DataFrame:
     """The three relaxed reports."""
-    return evaluation.reports(evaluation.evaluate(predictions_of(spark, d), tasks_of(spark, d), "relaxed"))
+    return _reports(_scored(spark, d, "relaxed"))
+
+
+@query(f"WITH {es.evaluated()} SELECT pred_id, round(field_coverage, 9) AS field_coverage FROM scored")
+def field_coverage_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Share of required fields that each answer covers; 1 where a task has none."""
+    return _scored(spark, d).select("pred_id", F.round("field_coverage", 9).alias("field_coverage"))
+
 
+@query(f"WITH {es.evaluated()}, x AS (SELECT unnest(missing_fields) AS path FROM scored) SELECT path, count(*) AS n FROM x GROUP BY path")
+def missing_fields(spark: SparkSession, d: str) -> DataFrame:
+    """How often each required field is missing."""
+    return _scored(spark, d).select(F.explode("missing_fields").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
 
-PRED = "SELECT pred_id, COALESCE(NULLIF(id, ''), NULLIF(sample_id, '')) AS id, COALESCE(method, 'unknown') AS method, answer FROM predictions"
-LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line_no DESC) AS rn FROM tasks WHERE id IS NOT NULL) WHERE rn = 1"
+
+@query(f"WITH {es.evaluated()} SELECT pred_id, array_to_string(underlocalized_fields, ' | ') AS fields FROM scored WHERE len(underlocalized_fields) > 0")
+def underlocalized_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that hold a raw value where the task asks for a localised one."""
+    return _scored(spark, d).filter(F.size("underlocalized_fields") > 0).select("pred_id", F.array_join("underlocalized_fields", " | ").alias("fields"))
+
+
+CORRUPTED = "SELECT method, CAST(sum(len(immutable_corruptions)) AS BIGINT) AS n FROM scored GROUP BY method"
+
+
+@query(f"SELECT s.method, s.n AS n_strict, r.n AS n_relaxed FROM (WITH {es.evaluated()} {CORRUPTED}) s JOIN (WITH {es.evaluated('relaxed')} {CORRUPTED}) r ON r.method = s.method")
+def immutable_strict_vs_relaxed(spark: SparkSession, d: str) -> DataFrame:
+    """Corrupted exact-copy fields by method under both policies."""
+    count = lambda policy, name: _scored(spark, d, policy).groupBy("method").agg(F.sum(F.size("immutable_corruptions")).alias(name))
+    return count("strict", "n_strict").join(count("relaxed", "n_relaxed"), "method")
 
 
 @query(PRED)
@@ -126,80 +150,20 @@ def immutable_copies(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     SELECT pred_id, count(*) AS n_hits
-    FROM (SELECT p.pred_id, p.answer, unnest(t.forbidden_hallucinations) AS phrase FROM ({PRED}) p JOIN ({LATEST}) t ON t.id = p.id WHERE p.answer IS NOT NULL)
+    FROM (SELECT p.pred_id, p.answer, unnest(list_concat(COALESCE(t.forbidden_hallucinations, []), list_transform(COALESCE(t.field_specs, []), lambda s: upper(s.value)))) AS phrase
+          FROM ({PRED}) p JOIN ({LATEST}) t ON t.id = p.id WHERE p.answer IS NOT NULL)
     WHERE phrase IS NOT NULL AND phrase <> '' AND contains(lower(answer), lower(phrase)) GROUP BY pred_id
 """)
 def forbidden_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions that hold forbidden phrases, with their number."""
+    """How many of the phrases of its task an answer holds: those forbidden, and each specified value in capitals as a further phrase."""
     p = evaluation.normalised_predictions(predictions_of(spark, d)).filter("answer IS NOT NULL")
-    t = evaluation.latest_tasks(tasks_of(spark, d)).select("id", "forbidden_hallucinations")
-    lower = F.lower("answer")
-    hits = F.size(F.filter("forbidden_hallucinations", lambda x: x.isNotNull() & (x != "") & F.contains(lower, F.lower(x))))
+    none = F.array().cast("array<string>")
+    phrases = F.concat(F.coalesce("forbidden_hallucinations", none), F.coalesce(F.transform("field_specs", lambda s: F.upper(s["value"])), none))
+    t = evaluation.latest_tasks(tasks_of(spark, d)).select("id", phrases.alias("phrases"))
+    hits = F.size(evaluation.phrase_hits(F.lower("answer"), F.col("phrases")))
     return p.join(t, "id").select("pred_id", hits.cast("bigint").alias("n_hits")).filter("n_hits > 0")
 
 
-@query(f"""
-    SELECT pred_id, sum(CASE WHEN regexp_matches(answer, '(?i)(^|[^A-Za-z0-9])' || regexp_escape(code) || '([^A-Za-z0-9]|$)') THEN 1 ELSE 0 END) AS n_codes
-    FROM (SELECT p.pred_id, p.answer, s.value AS code, s.role AS role FROM ({PRED}) p JOIN (SELECT id, unnest(field_specs) AS s FROM ({LATEST})) t ON t.id = p.id WHERE p.answer IS NOT NULL)
-    WHERE role = 'immutable' AND code <> '' GROUP BY pred_id
-""")
-def code_token_match(spark: SparkSession, d: str) -> DataFrame:
-    """Per prediction, how many of its exact-copy codes stand by themselves in the stored answer, in any case."""
-    p = evaluation.normalised_predictions(predictions_of(spark, d)).filter("answer IS NOT NULL")
-    t = evaluation.latest_tasks(tasks_of(spark, d)).select("id", F.filter(F.transform(F.filter("field_specs", lambda s: s["role"] == "immutable"), lambda s: s["value"]), lambda v: v != "").alias("codes")).filter(F.size("codes") > 0)
-    return p.join(t, "id").select("pred_id", F.size(F.filter("codes", lambda c: mt.has_code(F.col("answer"), c))).cast("bigint").alias("n_codes"))
-
-
-SCRIPT_CLASSES = {
-    "han": r"[\x{4e00}-\x{9fff}]", "kana": r"[\x{3040}-\x{30ff}]", "thai": r"[\x{0e00}-\x{0e7f}]", "tibetan": r"[\x{0f00}-\x{0fff}]",
-    "arabic": r"[\x{0600}-\x{06ff}]", "mongolian": r"[\x{1800}-\x{18af}]", "cyrillic": r"[\x{0400}-\x{052f}]",
-}
-
-
-def _has(*names: str) -> str:
-    return "(" + " OR ".join(f"regexp_matches(answer, '{SCRIPT_CLASSES[n]}')" for n in names) + ")"
-
-
-SIX = ("han", "kana", "thai", "tibetan", "arabic", "mongolian")
-
-
-@query(f"""
-    SELECT pred_id,
-      CASE lang WHEN 'en' THEN len(regexp_extract_all(answer, '[A-Za-z]')) > 1 AND NOT {_has(*SIX)} WHEN 'zh' THEN {_has("han")} WHEN 'ja' THEN {_has("kana")} WHEN 'th' THEN {_has("thai")} WHEN 'bo' THEN {_has("tibetan")}
-        WHEN 'ug' THEN {_has("arabic")} WHEN 'kk-Arab' THEN {_has("arabic")} WHEN 'mn-Mong' THEN {_has("mongolian")} WHEN 'id' THEN NOT {_has(*SIX)} ELSE FALSE END AS target,
-      CASE lang WHEN 'en' THEN {_has(*SIX)} WHEN 'zh' THEN {_has("kana")} WHEN 'id' THEN {_has(*SIX)} WHEN 'mn-Mong' THEN {_has("arabic", "han", "cyrillic", "kana", "thai", "tibetan")}
-        WHEN 'kk-Arab' THEN {_has("han", "cyrillic", "kana", "mongolian", "thai", "tibetan")} ELSE FALSE END AS wrong
-    FROM (SELECT p.pred_id, p.answer, t.expected_answer_language AS lang FROM ({PRED}) p JOIN ({LATEST}) t ON t.id = p.id WHERE p.answer IS NOT NULL)
-""")
-def language_scripts(spark: SparkSession, d: str) -> DataFrame:
-    """Per prediction, whether the script of the expected language is there and whether a wrong one is."""
-    p = evaluation.normalised_predictions(predictions_of(spark, d)).filter("answer IS NOT NULL")
-    t = evaluation.latest_tasks(tasks_of(spark, d)).select("id", F.col("expected_answer_language").alias("lang"))
-    low = F.lower("answer")
-    x = mt.language_diagnostics(F.col("answer"), low, low, low, F.col("lang"))
-    return p.join(t, "id").select("pred_id", x.alias("x")).select("pred_id", "x.target", "x.wrong")
-
-
-@query("SELECT pred_id, len(list_filter([" + ", ".join(f"'{m}'" for m in KAZAKH_MARKERS) + "], lambda m: contains(answer, m))) AS n_kazakh, len(list_filter([" + ", ".join(f"'{m}'" for m in UYGHUR_MARKERS) + "], lambda m: contains(answer, m))) AS n_uyghur FROM predictions WHERE answer IS NOT NULL")
-def marker_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct markers of two languages that each answer holds."""
-    a = F.col("answer")
-    return predictions_of(spark, d).filter(a.isNotNull()).select("pred_id", mt.marker_count(a, KAZAKH_MARKERS).cast("bigint").alias("n_kazakh"), mt.marker_count(a, UYGHUR_MARKERS).cast("bigint").alias("n_uyghur"))
-
-
-@query("SELECT pred_id, translate(answer, '๐๑๒๓๔๕๖๗๘๙', '0123456789') AS answer FROM predictions")
-def thai_digit_translate(spark: SparkSession, d: str) -> DataFrame:
-    """Answers with Thai digits as ASCII digits."""
-    return predictions_of(spark, d).select("pred_id", tx.ascii_thai_digits(F.col("answer")).alias("answer"))
-
-
-@query()
-def answer_forms(spark: SparkSession, d: str) -> DataFrame:
-    """The text forms answers are matched in."""
-    p = predictions_of(spark, d).filter("answer IS NOT NULL").select("pred_id", "answer", tx.nfkc("answer").alias("plain"))
-    return p.select("pred_id", mt.answer_forms(F.col("answer"), tx.ascii_thai_digits(F.col("plain"))).alias("f")).select("pred_id", "f.match", "f.loose", "f.dates", "f.stamps")
-
-
 # --- field specifications
 
 @query("""
@@ -228,15 +192,19 @@ def uncovered_required_fields(spark: SparkSession, d: str) -> DataFrame:
 """)
 def unique_values(spark: SparkSession, d: str) -> DataFrame:
     """Distinct values and accepted values of each line's specifications."""
-    values = F.array_distinct(F.array_compact(F.flatten(F.transform(F.array_compact("field_specs"), lambda s: F.concat(F.coalesce(s["accepted_values"], mt.none()), F.array(s["value"]))))))
+    values = F.array_distinct(F.array_compact(F.flatten(F.transform(F.array_compact("field_specs"), lambda s: F.concat(F.coalesce(s["accepted_values"], F.array().cast("array<string>")), F.array(s["value"]))))))
     return tasks_of(spark, d).select("line_no", F.size(values).cast("bigint").alias("n_values")).filter("n_values > 0")
 
 
-@query()
-def path_values(spark: SparkSession, d: str) -> DataFrame:
-    """The scalar at each specified path of the result, as text."""
-    rows = tasks_of(spark, d).filter("tool_result IS NOT NULL").select("line_no", "tool_result", F.posexplode("field_specs").alias("pos", "s")).filter("s.path IS NOT NULL")
-    return rows.select("line_no", "pos", F.col("s.path").alias("path"), F.get_json_object("tool_result", F.concat(F.lit("$."), F.col("s.path"))).alias("value"))
+ALL_VALUES = "SELECT line_no, i - 1 AS pos, s.path AS path, s.value AS value, COALESCE(expected_answer_language, user_language) AS lang FROM (SELECT line_no, expected_answer_language, user_language, unnest(field_specs) AS s, generate_subscripts(field_specs, 1) AS i FROM tasks) WHERE s.value IS NOT NULL"
+
+
+# a JSON text in JSON texts is unwrapped; what is then no object has no members
+OBJECT_SQL = """
+    SELECT *, CASE WHEN json_valid(j2) AND json_type(j2) = 'OBJECT' THEN j2 END AS obj FROM (
+    SELECT *, CASE WHEN json_valid(j1) AND json_type(j1) = 'VARCHAR' THEN j1 ->> '$' ELSE j1 END AS j2 FROM (
+    SELECT *, CASE WHEN json_valid(tool_result) AND json_type(tool_result) = 'VARCHAR' THEN tool_result ->> '$' ELSE tool_result END AS j1 FROM tasks))
+"""
 
 
 # --- validation and splits
@@ -295,6 +263,51 @@ def split_verify(spark: SparkSession, d: str) -> DataFrame:
     return validation.split_differences(tasks.filter("split = 'dev'"), validation.suffix_split(tasks).filter("split = 'dev'"))
 
 
+SUFFIX_SQL = "CASE WHEN regexp_extract(id, '[^_]*$') IN ('001', '003') THEN 'dev' WHEN regexp_extract(id, '[^_]*$') IN ('002', '004') THEN 'test' END"
+
+
+@query(f"SELECT id, CASE WHEN count(DISTINCT split) = 0 THEN 'in no split' ELSE 'in several splits' END AS problem FROM (SELECT id, COALESCE({SUFFIX_SQL}, split) AS split FROM tasks) GROUP BY id HAVING count(DISTINCT split) <> 1")
+def split_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that no split or several splits take, where the suffix decides first and the stored split otherwise."""
+    tasks = tasks_of(spark, d)
+    return validation.split_problems(validation.suffix_split(tasks).withColumnRenamed("split", "by_suffix").join(tasks.select("line_no", "split"), "line_no").select("id", F.coalesce("by_suffix", "split").alias("split")))
+
+
+@query("SELECT split, count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(DISTINCT domain) AS n_domains, count(DISTINCT user_language) AS n_languages FROM tasks GROUP BY split")
+def split_balance(spark: SparkSession, d: str) -> DataFrame:
+    """What each split holds."""
+    return validation.split_balance(tasks_of(spark, d))
+
+
+FIRST_SQL = "SELECT message FROM ({violations}) ORDER BY line_no, priority LIMIT 1"
+
+
+def _shape_sql(rows: int, released: bool) -> str:
+    languages = "(SELECT string_agg(DISTINCT user_language, ',' ORDER BY user_language) FROM tasks)"
+    checks = [f"SELECT 'expected {rows} rows, found ' || count(*) AS problem FROM tasks HAVING count(*) <> {rows}"]
+    if released:
+        checks += [
+            f"SELECT 'unexpected languages: ' || {languages} WHERE {languages} <> '{','.join(validation.TASK_LANGUAGES)}'",
+            "SELECT 'expected 32 domains, found ' || count(DISTINCT domain) FROM tasks HAVING count(DISTINCT domain) <> 32",
+        ]
+    return " UNION ALL ".join([*checks, f"SELECT * FROM ({FIRST_SQL.format(violations=SQL['validate_violations'])})"])
+
+
+@query(_shape_sql(1024, True))
+def validate_main(spark: SparkSession, d: str) -> DataFrame:
+    """What keeps the tasks from being a main table of the released size."""
+    return validation.main_problems(tasks_of(spark, d))
+
+
+@query(_shape_sql(448, False) + """
+    UNION ALL SELECT 'a row has no condition' FROM tasks WHERE split IS NULL HAVING count(*) > 0
+    UNION ALL SELECT 'unexpected condition balance: ' || string_agg(c, ', ' ORDER BY c) FROM (SELECT concat_ws(': ', split, count(*)) AS c FROM tasks GROUP BY split) HAVING count(*) <> 7
+""")
+def validate_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """What keeps the tasks, with their split as condition, from being an attribution table of the released size."""
+    return validation.attribution_problems(tasks_of(spark, d), "split")
+
+
 # --- placeholders and messages
 
 SLOTS_SQL = """
@@ -312,19 +325,31 @@ def slot_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    SELECT f.line_no, f.i - 1 AS pos, f.s.path AS path, COALESCE(m.placeholder, f.s.value) AS value
-    FROM (SELECT line_no, unnest(field_specs) AS s, generate_subscripts(field_specs, 1) AS i FROM tasks) f LEFT JOIN ({SLOTS_SQL}) m ON m.line_no = f.line_no AND m.path = f.s.path
+    WITH o AS ({OUTER_OBJECT})
+    SELECT f.line_no, f.i - 1 AS pos, f.s.path AS path, COALESCE(m.placeholder, f.s.value) AS value,
+      CASE WHEN m.placeholder IS NOT NULL AND obj IS NOT NULL AND list_contains(json_keys(obj), f.s.path) THEN m.placeholder END AS in_result
+    FROM (SELECT line_no, obj, unnest(field_specs) AS s, generate_subscripts(field_specs, 1) AS i FROM o) f LEFT JOIN ({SLOTS_SQL}) m ON m.line_no = f.line_no AND m.path = f.s.path
 """)
 def slot_protect(spark: SparkSession, d: str) -> DataFrame:
-    """Specifications with placeholders in place of protected values."""
-    rows = slots.protect(tasks_of(spark, d)).select("line_no", F.posexplode("field_specs").alias("pos", "s"))
-    return rows.select("line_no", F.col("pos").cast("bigint").alias("pos"), "s.path", "s.value")
+    """Specifications with placeholders in place of protected values, and the placeholder that their member of the rewritten result has."""
+    rows = slots.protect(tasks_of(spark, d)).select("line_no", "tool_result", F.posexplode("field_specs").alias("pos", "s"))
+    member = F.call_function("get_json_object", "tool_result", F.concat(F.lit("$['"), F.col("s.path"), F.lit("']")))
+    return rows.select("line_no", F.col("pos").cast("bigint").alias("pos"), "s.path", "s.value", F.when(member == slots.placeholder(F.col("s.path")), member).alias("in_result"))
 
 
-@query()
+@query(f"""
+    WITH o AS ({OUTER_OBJECT}), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line_no DESC) AS rn FROM o WHERE id IS NOT NULL) WHERE rn = 1),
+    v AS (SELECT t.id, m.path, json_type(obj, '$."' || m.path || '"') AS kind, json_extract_string(obj, '$."' || m.path || '"') AS value FROM t JOIN ({SLOTS_SQL}) m USING (line_no)),
+    w AS (SELECT id, path, CASE WHEN kind IS NULL THEN '' WHEN kind = 'NULL' THEN 'None' WHEN kind = 'BOOLEAN' THEN upper(value[1]) || value[2:] ELSE value END AS value FROM v)
+    SELECT id, string_agg(path || '=' || value, '; ' ORDER BY path) AS answer FROM w GROUP BY id
+""")
 def slot_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions with placeholders in place of values, restored again."""
-    return slots.restore_answers(evaluation.normalised_predictions(predictions_of(spark, d)), evaluation.latest_tasks(tasks_of(spark, d)))
+    """For each task an answer written with the placeholders of its protected form, and restored: every value must be back."""
+    tasks = evaluation.latest_tasks(tasks_of(spark, d))
+    own = F.array_sort(F.transform("protected_slots", lambda s: F.struct(s["path"].alias("path"), s["placeholder"].alias("placeholder"))))
+    written = F.array_join(F.transform(own, lambda s: F.concat(s["path"], F.lit("="), s["placeholder"])), "; ")
+    answers = slots.protect(tasks).filter(F.size("protected_slots") > 0).select(F.xxhash64("id").alias("pred_id"), "id", written.alias("answer"))
+    return slots.restore_answers(answers, tasks).select("id", "answer")
 
 
 @query()
@@ -348,6 +373,21 @@ def audit_documents(spark: SparkSession, d: str) -> DataFrame:
     return audit.findings(table(spark, d, "documents"), "doc_id", "text")
 
 
+COMPOSED = "SELECT run_id, concat_ws(' ', lower(method) || '@' || model || '.org', '/home/' || run_id || '/x', 'api_key=' || run_id, 'at 10.0.' || length(model) || '.7', 'to Anonymous@invalid.example') AS text FROM runs"
+
+
+@query(r"""
+    SELECT label, reason FROM (
+      SELECT run_id AS label, 'email address ' || e AS reason FROM (SELECT run_id, lower(unnest(regexp_extract_all(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}'))) AS e FROM (COMPOSED)) WHERE e <> 'anonymous@invalid.example'
+      UNION ALL SELECT run_id, unnest(['local path', 'credential-like assignment', 'private network address']) FROM (COMPOSED) WHERE contains(text, '/home/') AND contains(text, 'api_key=') AND contains(text, ' 10.0.'))
+""".replace("COMPOSED", COMPOSED))
+def audit_composed(spark: SparkSession, d: str) -> DataFrame:
+    """Findings in texts made of the runs so that each holds an address, a path, a key, a network address and a neutral address."""
+    parts = [F.concat(F.lower("method"), F.lit("@"), F.col("model"), F.lit(".org")), F.concat(F.lit("/home/"), F.col("run_id"), F.lit("/x")), F.concat(F.lit("api_key="), F.col("run_id"))]
+    text = F.concat_ws(" ", *parts, F.concat(F.lit("at 10.0."), F.length("model"), F.lit(".7")), F.lit("to Anonymous@invalid.example"))
+    return audit.findings(table(spark, d, "runs").select("run_id", text.alias("text")), "run_id", "text")
+
+
 # --- result tables
 
 @query("""
@@ -379,14 +419,6 @@ def headline_deltas(spark: SparkSession, d: str) -> DataFrame:
     return results.headline(table(spark, d, "model_results")).withColumn("value", F.round("value", 9))
 
 
-@query(f"SELECT name, abs(value) <= 1 AS agrees FROM ({_headline_sql()})")
-def tolerance_check(spark: SparkSession, d: str) -> DataFrame:
-    """Which headline values are within 1 of zero: the comparison operator with a wide tolerance."""
-    computed = results.headline(table(spark, d, "model_results"))
-    zero = computed.select("name", F.lit(0.0).alias("value"))
-    return results.compare(zero, computed, 1.0).select("name", "agrees")
-
-
 @query("""
     WITH z AS (SELECT 1.959963984540054 AS z), r AS (SELECT model, method, core_pass AS p, CAST(NULLIF(core_n, 0) AS DOUBLE) AS n FROM model_results)
     SELECT model, method, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS low,
@@ -398,23 +430,81 @@ def wilson_interval(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "model_results").select("model", "method", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-@query("""
-    WITH p AS (SELECT model, method, exp(-10 * core_pass) AS p FROM model_results WHERE core_pass IS NOT NULL),
-    r AS (SELECT model, method, p, row_number() OVER (PARTITION BY model ORDER BY p, method) AS rk, count(*) OVER (PARTITION BY model) AS m FROM p)
-    SELECT a.model, a.method, round(max(least(1, b.p * (b.m - b.rk + 1))), 9) AS p_holm FROM r a JOIN r b ON a.model = b.model AND b.rk <= a.rk GROUP BY a.model, a.method
-""")
-def holm_adjust(spark: SparkSession, d: str) -> DataFrame:
-    """Step-down adjustment within each model, of figures made from the core rate."""
-    p = table(spark, d, "model_results").filter("core_pass IS NOT NULL").select("model", "method", F.exp(-10 * F.col("core_pass")).alias("p"))
-    return results.holm(p, "p", ["model"]).select("model", "method", F.round("p_holm", 9).alias("p_holm"))
+@query(f"SELECT name, round(value, 2) AS expected, abs(value - round(value, 2)) <= 0.002 AS agrees FROM ({_headline_sql()})")
+def tolerance_check(spark: SparkSession, d: str) -> DataFrame:
+    """Which headline values are within 0.002 of what two decimals say."""
+    computed = results.headline(table(spark, d, "model_results")).withColumn("value", F.round("value", 9))
+    return results.compare(computed.select("name", F.round("value", 2).alias("value")), computed, 0.002).select("name", "expected", "agrees")
 
 
-@query()
+def _signs_sql() -> str:
+    parts = [
+        f"SELECT '{m}' AS metric, max(CASE WHEN method = '{results.COMPARISON}' THEN {m} END) - max(CASE WHEN method = '{results.BASELINE}' THEN {m} END) AS d FROM model_results GROUP BY model"
+        for m in ("core_pass", "hybrid_faithfulness", "naturalness")
+    ]
+    return f"""
+    WITH d AS ({" UNION ALL ".join(parts)}), s AS (SELECT metric, count(*) FILTER (WHERE d > 0) AS positive, count(*) FILTER (WHERE d < 0) AS negative, count(*) FILTER (WHERE d = 0) AS tied FROM d WHERE d IS NOT NULL GROUP BY metric),
+    p AS (SELECT *, least(1.0, 2.0 * list_sum(list_transform(range(0, least(positive, negative) + 1), lambda i: factorial(CAST(positive + negative AS INT)) / factorial(CAST(i AS INT)) / factorial(CAST(positive + negative - i AS INT)))) / 2.0 ** (positive + negative)) AS p_value FROM s),
+    r AS (SELECT *, row_number() OVER (ORDER BY p_value, metric) AS rk, count(*) OVER () AS m FROM p)
+    SELECT a.metric, a.positive, a.negative, a.tied, round(a.p_value, 9) AS p_value, round(max(least(1, b.p_value * (b.m - b.rk + 1))), 9) AS p_holm FROM r a JOIN r b ON b.rk <= a.rk GROUP BY a.metric, a.positive, a.negative, a.tied, a.p_value
+    """
+
+
+@query(_signs_sql())
 def sign_tests(spark: SparkSession, d: str) -> DataFrame:
     """Exact sign tests over models, Holm-adjusted over the metrics."""
     r = table(spark, d, "model_results")
     parts = [results.model_signs(r, m) for m in ("core_pass", "hybrid_faithfulness", "naturalness")]
-    return results.holm(parts[0].unionByName(parts[1]).unionByName(parts[2]), "p_value", [])
+    tested = results.holm(parts[0].unionByName(parts[1]).unionByName(parts[2]), "p_value", [])
+    return tested.withColumns({"p_value": F.round("p_value", 9), "p_holm": F.round("p_holm", 9)})
+
+
+DELTA = "round(max(CASE WHEN method = '{b}' THEN {c} END) - max(CASE WHEN method = '{a}' THEN {c} END), 9) AS delta_{c}"
+
+
+@query("SELECT model, " + ", ".join(DELTA.format(a=results.BASELINE, b=results.COMPARISON, c=c) for c in ("core_pass", "hybrid_faithfulness", "naturalness")) + " FROM model_results GROUP BY model")
+def model_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """What one method has over the other, by model; the operator takes a language column alike."""
+    out = results.paired_deltas(table(spark, d, "model_results"), "model", ["core_pass", "hybrid_faithfulness", "naturalness"])
+    return out.select("model", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
+
+
+@query("""
+    SELECT model, round(sum(core_pass * core_n) / sum(CASE WHEN core_pass IS NOT NULL THEN core_n END), 9) AS corepass, sum(core_n) AS core_n,
+      round(sum(hybrid_faithfulness * gemini_n) / sum(CASE WHEN hybrid_faithfulness IS NOT NULL THEN gemini_n END), 9) AS hybrid, sum(gemini_n) AS hybrid_n,
+      round(sum(naturalness * naturalness_n) / sum(CASE WHEN naturalness IS NOT NULL THEN naturalness_n END), 9) AS naturalness, sum(naturalness_n) AS naturalness_n
+    FROM model_results GROUP BY model
+""")
+def pooled_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted means by model, pooled over methods."""
+    return results.pooled(table(spark, d, "model_results"), "model").withColumns({c: F.round(c, 9) for c in ("corepass", "hybrid", "naturalness")})
+
+
+@query(f"""
+    WITH w AS ({SQL["wilson_interval"]}), a AS (SELECT * FROM w WHERE method = '{results.COMPARISON}'), b AS (SELECT * FROM w WHERE method = '{results.BASELINE}')
+    SELECT a.model, round(a.low - b.high, 6) AS low, round(a.high - b.low, 6) AS high FROM a JOIN b ON a.model = b.model
+""")
+def delta_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the difference of the core rates of two methods, by model."""
+    r = table(spark, d, "model_results")
+    side = lambda method, p: r.filter(F.col("method") == method).select("model", F.col("core_pass").alias(f"{p}_rate"), F.col("core_n").alias(f"{p}_n"))
+    low, high = results.delta_interval(F.col("a_rate"), F.col("a_n"), F.col("b_rate"), F.col("b_n"))
+    return side(results.COMPARISON, "a").join(side(results.BASELINE, "b"), "model").select("model", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query(f"""
+    WITH v AS (SELECT id, bool_or(answer IS NOT NULL AND length(answer) > 100) FILTER (WHERE method = '{results.COMPARISON}') AS a, bool_or(answer IS NOT NULL AND length(answer) > 100) FILTER (WHERE method = '{results.BASELINE}') AS b FROM ({PRED}) GROUP BY id),
+    c AS (SELECT count(*) AS n, count(*) FILTER (WHERE a AND NOT b) AS x, count(*) FILTER (WHERE b AND NOT a) AS y FROM v WHERE a IS NOT NULL AND b IS NOT NULL)
+    SELECT n, x AS comparison_only, y AS baseline_only, round((x - y) / n, 9) AS delta,
+      round(least(1.0, 2 * list_sum(list_transform(range(0, least(x, y) + 1), lambda i: exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2))))), 6) AS p_value FROM c
+""")
+def mcnemar_long_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Exact test, over tasks answered by both methods, of which of them has an answer of over 100 characters."""
+    p = evaluation.normalised_predictions(predictions_of(spark, d))
+    long = F.col("answer").isNotNull() & (F.length("answer") > 100)
+    by = p.groupBy("id").agg(*[F.max(F.when(F.col("method") == m, long)).alias(n) for m, n in ((results.COMPARISON, "a"), (results.BASELINE, "b"))])
+    out = results.mcnemar(by, "a", "b")
+    return out.withColumns({"delta": F.round("delta", 9), "p_value": F.round("p_value", 6)})
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 TASK_SCHEMA = (
     "id string, domain string, source_record_id string, user_language string, expected_answer_language string, user_query string, tool_name string, "
@@ -20,10 +20,25 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return text.filter(F.trim("raw") != "").select("line_no", "raw")
 
 
-def bad_lines(rows: DataFrame) -> DataFrame:
-    """(line_no, problem) of lines that hold no JSON or no object."""
-    value = F.try_parse_json("raw")
-    return rows.select("line_no", F.when(value.isNull(), F.lit("invalid JSON")).when(~F.schema_of_variant(value).startswith("OBJECT"), F.lit("not an object")).alias("problem")).filter(F.col("problem").isNotNull())
+def line_problem(raw: Column) -> Column:
+    """Why a line holds no record: it is no JSON, or no object; null for a record and for null."""
+    value = F.try_parse_json(raw)
+    return F.when(raw.isNotNull() & value.isNull(), F.lit("invalid JSON")).when(~F.schema_of_variant(value).startswith("OBJECT"), F.lit("not an object"))
+
+
+def line_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, problem) of every line that isn't blank and holds no record; lines count from 1 in each file, blank ones too.
+
+    Rows of one stretch of a file are numbered as they are read. What the stretches before it hold is
+    summed up from one count per stretch, so no file is ever read by a single task.
+    """
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw")
+    )
+    stretches = text.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = stretches.select("file", "start", "first", (F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")).alias("before"))
+    wrong = text.filter(F.trim("raw") != "").select("file", "start", "at", line_problem(F.col("raw")).alias("problem")).filter("problem IS NOT NULL")
+    return wrong.join(before, ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "problem")
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:

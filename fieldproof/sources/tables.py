@@ -8,9 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table `name` of `folder`; partition pruning and column pruning stay with the scan."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def register_views(spark: SparkSession, folder: str, names: list[str]) -> None:
-    """Temporary views over the tables, for queries written in SQL."""
-    for name in names:
-        table(spark, folder, name).createOrReplaceTempView(name)
