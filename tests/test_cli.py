@@ -28,6 +28,10 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)[0]["content"] == "P"
     data.write_text(record("d_zh_001", "r1") + "\n" + record("d_zh_001", "r2"), encoding="utf-8")
     assert cli.main(["validate", "--data", str(data)]) == 1
+    data.write_text(record("d_zh_001", "r1") + "\n\n{cut", encoding="utf-8")
+    capsys.readouterr()
+    assert cli.main(["validate", "--data", str(data)]) == 1 and "line 3: invalid JSON" in capsys.readouterr().out
+    assert cli.main(["evaluate", "--data", str(data), "--predictions", str(data), "--output", str(tmp_path / "out")]) == 1
     data.write_text(record("d_zh_001", "r1") + "\n" + record("d_zh_002", "r1"), encoding="utf-8")
     assert cli.main(["split", "--data", str(data), "--output", str(tmp_path / "s")]) == 1
     assert cli.main(["audit", "--root", str(tmp_path / "prompts")]) == 0

@@ -43,6 +43,19 @@ def test_violations(spark):
     assert validation.summary(df).first()["unique_ids"] == 6
 
 
+def test_main_and_attribution(spark):
+    rows = [task(i, f"d_zh_{i}") + (None,) for i in range(4)]
+    df = spark.createDataFrame([(*r[:-1], "ab"[i % 2]) for i, r in enumerate(rows)], TASKS + ", attribution_condition string")
+    problems = lambda out: [r["problem"] for r in out.collect()]
+    assert problems(validation.main_problems(df, 4)) == [] == problems(validation.attribution_problems(df, expected_rows=4))
+    assert problems(validation.main_problems(df, 5)) == ["expected 5 rows, found 4"]
+    assert problems(validation.attribution_problems(df)) == ["expected 448 rows, found 4", "unexpected condition balance: a: 2, b: 2"]
+    assert problems(validation.attribution_problems(df.withColumn("attribution_condition", F.lit(None).cast("string")), expected_rows=4)) == ["a row has no condition"]
+    assert problems(validation.main_problems(df.limit(0), None)) == ["dataset is empty"]
+    twice = df.select("id", F.lit("dev").alias("split")).unionByName(df.filter("id = 'd_zh_1'").select("id", F.lit("test").alias("split"))).unionByName(df.filter("id = 'd_zh_2'").select(F.lit("new").alias("id"), F.lit(None).cast("string").alias("split")))
+    assert sorted(tuple(r) for r in validation.split_problems(twice).collect()) == [("d_zh_1", "in several splits"), ("new", "in no split")]
+
+
 def test_splits_and_balance(spark):
     df = spark.createDataFrame([task(1), task(2, "w_zh_002", "r1"), task(3, "w_zh_003", "r2"), task(4, "w_zh_9", "r3"), task(5, "w_zh_004", None)], TASKS)
     split = validation.suffix_split(df)
@@ -70,6 +83,8 @@ def test_slots(spark):
     assert protected["t1"]["field_specs"][2]["accepted_values"] == ["[[FIELD_a]]"] and protected["t2"]["tool_result"] == rows[1][8]
     answers = spark.createDataFrame([(1, "t1", "[[FIELD_a]]：代码[[FIELD_b]]。"), (2, "t1", "plain"), (3, "gone", "[[FIELD_a]]"), (4, "t4", "[[FIELD_b]]!"), (5, "t1", None), (6, "t3", "[[FIELD_a]]|")], "pred_id bigint, id string, answer string")
     assert {r["pred_id"]: r["answer"] for r in slots.restore_answers(answers, df).collect()} == {1: "Tokyo：代码53。", 2: "plain", 3: "[[FIELD_a]]", 4: "X!", 5: None, 6: "|"}
+    valued = slots.protect(df.withColumn("evaluation_values", F.create_map(F.lit("a"), F.array(F.lit("Tokyo")), F.lit("s"), F.array(F.lit("ok")))))
+    assert {r["id"]: r["evaluation_values"] for r in valued.collect()}["t1"] == {"a": ["[[FIELD_a]]"], "s": ["ok"]}
     assert slots.text_of(True) == "True" and slots.text_of(None) == "None"
 
 
@@ -127,6 +142,12 @@ def test_results(spark):
     assert sorted((r["family"], r["p"], round(r["p_holm"], 9)) for r in results.holm(p, "p", ["family"]).filter("p IS NOT NULL").collect()) == [("f", 0.01, 0.03), ("f", 0.03, 0.06), ("f", 0.04, 0.06), ("g", 0.9, 0.9)]
     low, high = df.limit(1).select(*results.wilson(F.lit(0.459473), F.lit(4096))).first()
     assert abs(low - 0.444256) < 1e-5 and abs(high - 0.474765) < 1e-5
+    low, high = df.limit(1).select(*results.delta_interval(F.lit(0.642045), F.lit(1232), F.lit(0.446429), F.lit(1232))).first()
+    assert abs(low - 0.140561) < 1e-5 and abs(high - 0.249457) < 1e-5
+    assert results.paired_deltas(df, "model", ["core_pass"]).filter("model = 'm1'").first()["delta_core_pass"] == pytest.approx(0.2)
+    paired = spark.range(4096).selectExpr("id < 1366 OR id >= 3000 AS a", "id >= 1366 AND id < 1495 OR id >= 3000 AS b")
+    m = results.mcnemar(paired, "a", "b").first()
+    assert (m["n"], m["comparison_only"], m["baseline_only"]) == (4096, 1366, 129) and m["delta"] == 0.302001953125 and math.isclose(m["p_value"], 4.634225599765438e-261, rel_tol=1e-9)
     z = df.limit(1).select(results.two_proportion_z(F.lit(0.5), F.lit(100), F.lit(0.5), F.lit(50))).first()[0]
     assert z == 1.0
 
@@ -138,9 +159,14 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text("\n\n".join(json.dumps(r) for r in records) + "\n   \n", encoding="utf-8")
     got = [tuple(r)[1:] for r in jsonl.read_predictions(spark, str(tmp_path / "p.jsonl")).orderBy("pred_id").collect()]
     assert got == [("a", None, "unknown", "x"), ("", "b", "naive", "y"), (None, "c", None, "z"), ("d", None, "unknown", None)]
-    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n[1]\n{"a": \n"s"\n')
-    bad = jsonl.bad_lines(jsonl.lines(spark, str(tmp_path / "bad.jsonl")))
-    assert [r["problem"] for r in bad.orderBy("line_no").collect()] == ["not an object", "invalid JSON", "not an object"]
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n[1]\n\n{"a": \n"s"\n')
+    bad = jsonl.line_errors(spark, str(tmp_path / "bad.jsonl"))
+    assert [(r["line"], r["problem"]) for r in bad.orderBy("line").collect()] == [(2, "not an object"), (4, "invalid JSON"), (5, "not an object")]
+    assert all(r["file"].endswith("/bad.jsonl") for r in bad.collect())
+    (tmp_path / "long.jsonl").write_text("".join('{"a": 1}\n\n' if i != 40_000 else "[\n" for i in range(60_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    assert [(r["line"], r["problem"]) for r in jsonl.line_errors(spark, str(tmp_path / "long.jsonl")).collect()] == [(80_001, "invalid JSON")]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "t.jsonl").write_text(json.dumps({"id": "t", "tool_result": {"b": [1, {"c": 2}]}, "field_specs": [{"path": "b", "value": "1"}], "other": 5}))
     t = jsonl.read_tasks(spark, str(tmp_path / "t.jsonl")).first()
     assert json.loads(t["tool_result"]) == {"b": [1, {"c": 2}]} and t["field_specs"][0]["path"] == "b" and t["domain"] is None
