@@ -77,9 +77,13 @@ def emit_nodes(df: DataFrame, key: str, json_columns: list[str], struct_columns:
     return picked.mapInArrow(visit, EMITTED)
 
 
-def write_tables(nodes: DataFrame, folder: str) -> None:
-    """Writes the emission partitioned by table tag; one scan, and readers prune to their tag."""
-    nodes.write.mode("overwrite").partitionBy("table_tag").parquet(folder)
+def write_tables(nodes: DataFrame, folder: str, compact: bool = False) -> None:
+    """Writes the emission partitioned by table tag; one scan, and readers prune to their tag.
+
+    compact: rows of a tag are brought together first, which costs one exchange of the emission and
+    saves files where many tasks hold rows of many tags; large tags are split at run time.
+    """
+    (nodes.hint("rebalance", "table_tag") if compact else nodes).write.mode("overwrite").partitionBy("table_tag").parquet(folder)
 
 
 def table_schemas(nodes: DataFrame) -> dict[str, T.StructType]:
@@ -130,12 +134,22 @@ def read_table(nodes: DataFrame, tag: str, schema: T.StructType | str) -> DataFr
     )
 
 
-def table_report(nodes: DataFrame) -> dict[str, dict[str, int]]:
-    """Per table of a written emission, read with its schema: its rows, and the values of each member."""
-    out = {}
-    for tag, schema in table_schemas(nodes).items():
+def table_counts(nodes: DataFrame, schemas: dict[str, T.StructType]) -> DataFrame:
+    """(table_tag, member, n): per table of a written emission, read with its schema, its rows (member null) and the values of each member."""
+    out: DataFrame | None = None
+    for tag, schema in schemas.items():
         flat = read_table(nodes, tag, schema)
         members = flat.columns[3:]
-        counts = flat.agg(F.count("*"), *[F.count(F.col(f"`{m}`")) for m in members]).first()
-        out[tag] = dict(zip(["rows", *members], counts))
+        counts = flat.agg(F.array(F.count("*"), *[F.count(F.col(f"`{m}`")) for m in members]).alias("n"))
+        names = F.array(F.lit(None).cast("string"), *map(F.lit, members))
+        one = counts.select(F.lit(tag).alias("table_tag"), F.inline(F.arrays_zip(names.alias("member"), "n")))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else nodes.sparkSession.createDataFrame([], "table_tag string, member string, n bigint")
+
+
+def table_report(nodes: DataFrame) -> dict[str, dict[str, int]]:
+    """Per table of a written emission, read with its schema: its rows, and the values of each member."""
+    out: dict[str, dict[str, int]] = {}
+    for r in table_counts(nodes, table_schemas(nodes)).collect():
+        out.setdefault(r["table_tag"], {})[r["member"] or "rows"] = r["n"]
     return out

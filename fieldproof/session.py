@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,36 @@ def local_session(app: str = "fieldproof", cpus: int | None = None, shuffle: int
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder all executors share.
+def use_checkpoints(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints, which all executors share.
 
-    The folder is spark.checkpoint.dir of the session. Only where that is unset (tests on
-    one machine) a folder of this machine is used.
+    It is spark.checkpoint.dir of the session. Only where that is unset and the session runs on one
+    machine, as in tests, a folder of this machine is used; on a cluster it must be set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="fieldproof-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for tables that are written once and read back."""
+    return f"{use_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint."""
+    use_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def released(df: DataFrame) -> None:
+    """Deletes the files of a checkpoint that nothing reads any more, as those of earlier rounds of an iteration."""
+    plan = df._jdf.queryExecution().logical()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df._jdf.sparkSession().sessionState().newHadoopConf()).delete(path, True)

@@ -78,3 +78,21 @@ def test_flatten_command(spark, tmp_path, capsys):
     }
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["n"] for r in read_table(back, "tool_result.a", table_schemas(back)["tool_result.a"]).filter("n IS NOT NULL").collect()) == [1.0, 2.5]
+
+
+def test_deep_texts():
+    from fieldproof.functions.jsontext import _read_deep
+
+    texts = ['{"a": [1, -2.5e3, "x\\n", null, true, {}, []], "b": {"c": [[[]]]}, "a": 2}', " [ ] ", "5", '"s"', "{}", "[1,]", '{"a" 1}', "{,}", "[1 2]", '{"a": 1} x', "", "[", '{"a": "cut', "[01]", '{1: 2}', '["\\q"]']
+    for text in texts:
+        try:
+            want = json.loads(text)
+        except ValueError:
+            want = UNREADABLE
+        assert _read_deep(text) == want, text
+    depth = 30_000
+    value = read_json('{"a":[' * depth + "7" + "]}" * depth)
+    for _ in range(depth):
+        value = value["a"][0]
+    assert value == 7
+    assert read_json("[" * depth + "]" * (depth - 1)) is UNREADABLE
