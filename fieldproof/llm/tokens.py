@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,7 +25,8 @@ TOKENIZERS = os.environ.get("FIELDPROOF_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # The pattern that cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PIECES = 200_000
+KEPT_PIECES = 200_000  # encodings a process keeps; the older half goes when there are more
+KEPT_PAIRS = 4_000_000
 
 
 class TrieEncoder:
@@ -43,35 +45,53 @@ class TrieEncoder:
             for byte in reversed(token):
                 node = node.setdefault(byte, {})
             node[-1] = rank
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # by left << 20 | right
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.kept: dict[str, list[int]] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """The encoding by merging, lowest rank first; for the few bytes of two tokens."""
+    def merged(self, data: bytes, below: int = 1 << 60) -> list[int]:
+        """The encoding by merging, lowest rank first and only ranks under `below`; for the few bytes of a token."""
+        ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
+            rank, best = min([(ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1)])
+            if rank >= below:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[x] for x in parts]
+        return [ranks[x] for x in parts]
+
+    def half(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that a token is merged from last; None for a single byte or one that no merge makes."""
+        if token not in self.halves:
+            parts = self.merged(self.bytes_of[token], token) if len(self.bytes_of[token]) > 1 else []
+            self.halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.halves[token]
 
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the joined bytes of two tokens are encoded as these two; left -1 stands for the start."""
-        known = self.follows.get((left, right))
-        if known is None:
-            if left < 0:
-                known = self.merged(self.bytes_of[right]) == [right]
+        """Whether the joined bytes of two tokens are encoded as these two.
+
+        Going back through the merges that made them, the later one first, no two neighbours
+        across the border may form a token that would have been merged before.
+        """
+        bytes_of, ranks, limit = self.bytes_of, self.ranks, 1 << 60
+        while True:
+            if ranks.get(bytes_of[left] + bytes_of[right], limit) < limit:
+                return False
+            # the later of the two merges is undone; where one side is a byte, the other
+            first, second = self.half(left), self.half(right)
+            if first is None and second is None:
+                return True
+            if second is None or first is not None and left > right:
+                limit, left = left, first[1]
             else:
-                known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            if len(self.follows) > 4_000_000:
-                self.follows.clear()
-            self.follows[left, right] = known
-        return known
+                limit, right = right + 1, second[0]
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, list[int]]:
         """The ids of each distinct piece, by one depth-first walk over their trie."""
         out: dict[str, list[int]] = {}
+        follows, backward = self.follows, self.backward
+        if len(follows) > KEPT_PAIRS:
+            follows.clear()
         last = [-1]  # last[i]: the last token of the encoding of the first i bytes of the path
         size = [0]  # size[i]: the bytes of that token
         before = b""
@@ -81,13 +101,20 @@ class TrieEncoder:
                 shared += 1
             del last[shared + 1 :], size[shared + 1 :]
             for i in range(shared, len(data)):
-                node, found, at = self.backward, [], i
+                node, found, at = backward, [], i
                 while at >= 0 and (node := node.get(data[at])) is not None:
-                    if (rank := node.get(-1)) is not None:
-                        found.append((rank, at))
+                    if -1 in node:
+                        found.append((node[-1], at))
                     at -= 1
                 for rank, at in reversed(found):  # the longest first; only one fits
-                    if self.may_follow(last[at] if at else -1, rank):
+                    if at:
+                        pair = last[at] << 20 | rank
+                        fits = follows.get(pair)
+                        if fits is None:
+                            fits = follows[pair] = self.may_follow(last[at], rank)
+                    else:
+                        fits = len(found) == 1 or self.merged(self.bytes_of[rank]) == [rank]
+                    if fits:
                         last.append(rank)
                         size.append(i + 1 - at)
                         break
@@ -104,10 +131,12 @@ class TrieEncoder:
         cut = [self.split(t) if t else [] for t in texts]
         new = {p for pieces in cut for p in pieces if p not in self.kept}
         if len(self.kept) + len(new) > KEPT_PIECES:
-            self.kept = {}
-            new = {p for pieces in cut for p in pieces}
+            for old in list(islice(self.kept, KEPT_PIECES // 2)):
+                del self.kept[old]
+            new = {p for pieces in cut for p in pieces if p not in self.kept}
         self.kept.update(self.encode_pieces(new))
-        return [[i for p in pieces for i in self.kept[p]] for pieces in cut]
+        of = self.kept.__getitem__
+        return [list(chain.from_iterable(map(of, pieces))) for pieces in cut]
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}
