@@ -23,19 +23,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldproof.llm.canon import canonical
 
-LINK = re.compile(r"<a\s[^>]{0,400}>.{0,200}?</a>|\[[^\[\]]{0,200}\]\((?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)\S+", re.I | re.S)
-TAG = re.compile(r"(?<!\w)#[^\s#]{2,}|\[[^\[\]\n]{1,40}\](?!\()")
-# Marks of product offers.
-OFFER = re.compile(r"\d+\s?% off\b|\bbuy now\b|\bSKU\b|\bfree shipping\b|\badd to cart\b|\bin stock\b|\border now\b|[$€£¥]\s?\d|\bdiscount\b|\bcheap\b", re.I)
-SEPARATOR = re.compile(r"\s*(?:[|•·、;,/،᠂]|>>|\s[-–—@]\s)\s*")
+LINK = re.compile(r"<a\s[^<>]*+>[^<]*+(?:<(?!/?a[\s>])[^<]*+)*+</a>|\[[^\[\]]*+\]\((?:https?://|www\.)[^)\s]*+\)|(?:https?://|www\.)\S+", re.I)
+TAG = re.compile(r"(?<!\w)#[^\s#]{2,}|\[[^\[\]\n]++\](?!\()")
+# Words and marks of product offers, and one of which each offer holds in lower case.
+OFFER = re.compile(
+    r"\d+\s?% off\b|\bbuy now\b|\bSKU\b|\bfree shipping\b|\badd to cart\b|\bin stock\b|\border now\b|[$€£¥]\s?\d|\bdiscount\b|\bcheap\b"
+    r"|立即购买|加入购物车|包邮|今すぐ購入|送料無料|カートに入れる|สั่งซื้อเลย|ส่งฟรี|\bbeli sekarang\b|\bgratis ongkir\b",
+    re.I,
+)
+OFFER_HINTS = ("% off", "buy now", "sku", "free shipping", "add to cart", "in stock", "order now", "discount", "cheap", "$", "€", "£", "¥", "立即购买", "加入购物车", "包邮", "今すぐ購入", "送料無料", "カートに入れる", "สั่งซื้อเลย", "ส่งฟรี", "beli sekarang", "gratis ongkir")
+SEPARATORS = "•·、;,/،᠂"
+SPACED = re.compile(r"\s[-–—@]\s")
 STOP = re.compile(r"[.!?](?=[\s\"')\]]|$)|[。!?؟།᠃]")
 NUMBER = re.compile(r"\d[\d.,:/-]*\d")
 OBJECT = re.compile(r"^[\[{].*[\"}\]][,:]?\s*[\[\]{}\d\w\"]", re.S)
 FEW_WORDS = 16  # distinct words of a line of key phrases, however long it is
 LINK_LENGTH = 25  # a link counts like a few words, however long its address is
 WORD = re.compile(r"[^\W\d_](?:[\w'’་-]*\w)?")
-CAPITAL = re.compile(r"\b[A-ZÀ-Þ]")
-THAI = re.compile(r"[฀-๿]")
+THAI = re.compile(r"[\u0e00-\u0e7f]")
 
 
 class Shape(NamedTuple):
@@ -53,12 +58,26 @@ def bucket(n: int) -> int:
     return n if n < 3 else (n - 1).bit_length() + 1
 
 
+def separated(text: str) -> list[str]:
+    """What the separators leave of a text, blank parts left out."""
+    for mark in (*SEPARATORS, ">>"):
+        if mark in text:
+            text = text.replace(mark, "|")
+    if SPACED.search(text):
+        text = SPACED.sub("|", text)
+    return [x for x in text.split("|") if x and not x.isspace()]
+
+
 def repetitive(text: str) -> bool:
     """Whether a text without links is short phrases, split at stops and separators, of the same few words again and again.
 
     Numbers count as words, so fields whose values differ aren't repetition.
     """
-    phrases = [p.split() for x in SEPARATOR.split(text.casefold()) for p in STOP.split(x) if p.strip()]
+    low = text.casefold()
+    plain = WORD.findall(low)
+    if len(set(plain)) > 0.75 * len(plain):  # most lines end here, cheaply
+        return False
+    phrases = [p.split() for x in separated(low) for p in STOP.split(x) if p.strip()]
     words = [w for p in phrases for w in p]
     known = set(words)
     if len(phrases) < 6 or len(words) < 12 or len(words) > 6 * len(phrases) or len(known) > 0.5 * len(words):
@@ -72,15 +91,23 @@ def repetitive(text: str) -> bool:
     return held.most_common(1)[0][1] >= 0.9 * len(phrases)
 
 
+def without_links(line: str) -> tuple[str, int]:
+    """A line with a blank in place of each link, and their number."""
+    low = line.lower()
+    return LINK.subn(" ", line) if "://" in low or "www." in low or "</a>" in low else (line, 0)
+
+
 def line_shape(line: str) -> Shape:
     """The shape of one line, which isn't blank."""
     if line[0] in "{[" and OBJECT.match(line) and '":' in line:
         return Shape("object", 0, 0, 0, 0)
-    links = LINK.findall(line)
-    rest = NUMBER.sub("0", LINK.sub(" ", line))
+    linkless, links = without_links(line)
+    rest = NUMBER.sub("0", linkless)
     words = WORD.findall(rest)
-    items = [x for x in SEPARATOR.split(rest) if x.strip()]
-    tags = TAG.findall(rest)
+    items = separated(rest)
+    tags = TAG.findall(rest) if "#" in rest or "[" in rest else []
+    low = rest.lower()
+    offers = len(OFFER.findall(rest)) if any(x in low for x in OFFER_HINTS) else 0
     letters = sum(map(len, words))
     mean = letters / max(1, len(items))
     stops = len(STOP.findall(rest.rstrip()))
@@ -88,9 +115,9 @@ def line_shape(line: str) -> Shape:
     running = len(words) >= 4 or letters >= 12
     if tags and sum(map(len, tags)) >= 0.5 * len(rest.strip()) and len(tags) >= 3:
         kind = "tag"
-    elif len(OFFER.findall(rest)) >= 2 or OFFER.search(rest) and len(items) >= 3 and not stops:
+    elif offers >= 2 or offers and len(items) >= 3 and not stops:
         kind = "offer"
-    elif stops and repetitive(LINK.sub(" ", line)):
+    elif stops and repetitive(linkless):
         kind = "keywords"
     elif stops and running and (mean >= 8 or len(items) < 4) and letters > 8 * max(0, len(items) - 6 * stops - 6):
         kind = "sentence"
@@ -108,7 +135,7 @@ def line_shape(line: str) -> Shape:
         kind = "fragment"
     else:
         kind = "sentence"
-    return Shape(kind, bucket(len(words)), bucket(len(CAPITAL.findall(rest))), bucket(len(items) - 1), bucket(len(links)))
+    return Shape(kind, bucket(len(words)), bucket(sum(w[0].isupper() for w in words) if rest != low else 0), bucket(len(items) - 1), bucket(links))
 
 
 FEW_SHAPES = 12
@@ -125,12 +152,13 @@ def stuffing(text: str) -> tuple[float, int, int]:
     shaped = [line_shape(line) for line in lines]
     # short lines that each close with a stop are judged together
     short = [i for i, s in enumerate(shaped) if s.kind == "sentence" and s.words <= SHORT]
-    if len(short) >= 6 and repetitive("\n".join(f"{LINK.sub(' ', lines[i])} |" for i in short)):
+    if len(short) >= 6 and repetitive("\n".join(f"{without_links(lines[i])[0]} |" for i in short)):
         for i in short:
             shaped[i] = shaped[i]._replace(kind="keywords")
     for line, shape in zip(lines, shaped):
         shapes[shape] += 1
-        mass[shape] += len(LINK.sub("L" * LINK_LENGTH, line))
+        linkless, links = without_links(line)
+        mass[shape] += len(linkless) + links * (LINK_LENGTH - 1)
         if shape.kind == "fragment":
             fragments.append(line)
     whole = sum(mass.values())
