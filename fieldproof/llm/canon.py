@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import islice
 
 # Characters that are not shown (Unicode property Default_Ignorable_Code_Point).
 IGNORABLE = re.compile(
@@ -74,15 +75,17 @@ def per_distinct(values: Iterable, function: Callable) -> list:
 
 # Words that stand for no value.
 NO_VALUE = frozenset({"n/a", "na", "null", "none", "nil", "nan", "undefined", "unknown", "tbd", "no value", "no answer", "not available"})
-SHOWN = re.compile(r"[^\W_]")
+# letters and digits that are shown: no fillers, which count as letters
+SHOWN = re.compile(r"[^\W_\u115f\u1160\u17b4\u17b5\u3164\uffa0]")
+ENOUGH = 40  # letters that make more than any no-value word, even if three of them compose to one
 
 
 def is_empty(text: str | None) -> bool:
     """Null, or nothing but blanks, invisible characters, punctuation or a no-value word."""
     if text is None:
         return True
-    # a long text with letters can be no word that stands for nothing
-    return False if len(text) > 60 and len(SHOWN.findall(text, 0, 60)) > 30 else _is_empty(text)
+    # a text that shows this many letters anywhere can be no word that stands for nothing
+    return False if len(text) >= ENOUGH and next(islice(SHOWN.finditer(text), ENOUGH - 1, None), None) else _is_empty(text)
 
 
 @lru_cache(maxsize=65_536)
