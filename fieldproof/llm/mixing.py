@@ -26,7 +26,7 @@ SLICE_ROWS = 50_000
 
 def mixture(documents: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of every document put out at least once."""
-    sized = checkpointed(count_tokens(documents.filter(F.col("source").isNotNull() & (F.trim("text") != "")), ["doc_id", "source"], "text").filter("n_tokens > 0"))
+    sized = checkpointed(count_tokens(documents.filter(F.col("source").isNotNull() & F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")), ["doc_id", "source"], "text").filter("n_tokens > 0"))
     totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     # one row per target source: as many as mix_targets has
     wanted = targets.filter("target_share > 0").join(totals, "source").withColumn("share", F.col("target_share") / F.sum("target_share").over(Window.partitionBy(F.lit(1))))
