@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldproof.llm.records import id_number, source_key
-from fieldproof.session import checkpointed
+from fieldproof.session import checkpointed, released
 
 CHUNK = 1_000_000
+SLICE_GROUPS = 50_000
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
@@ -59,6 +60,19 @@ def local_forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def safe_seed(keys: DataFrame) -> int:
+    """The first seed under which no two of the distinct texts `key` have one 64-bit hash, so that hashes may stand for them.
+
+    Texts are told apart by a second hash; the aggregate keeps two numbers per hash.
+    """
+    for seed in range(8):
+        nodes = keys.select(F.xxhash64("key", F.lit(seed)).alias("node"), F.xxhash64("key", F.lit(-1 - seed)).alias("second"))
+        shared = nodes.groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high")).filter("low <> high")
+        if shared.limit(1).count() == 0:
+            return seed
+    raise RuntimeError("no seed without collisions")
+
+
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that isn't the smallest of its component, from edges (a, b) of long keys."""
     current, before = checkpointed(local_forest(edges)), None
@@ -69,7 +83,9 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = local_forest(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
-        current = checkpointed(small.distinct())
+        after = checkpointed(small.distinct())
+        released(current)
+        current = after
         state = current.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if tuple(state) == before:
             return current.withColumnsRenamed({"a": "node", "b": "root"})
@@ -80,11 +96,14 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def related_ids(tasks: DataFrame) -> DataFrame:
     """(id, root) of every distinct id; ids with one root are related, directly or through others."""
     rows = tasks.filter(F.col("id").isNotNull()).select("id", "domain", id_number().alias("number"), source_key().alias("source")).distinct()
-    node = F.xxhash64(F.lit("id"), "id")
-    by_number = rows.filter("number IS NOT NULL AND domain IS NOT NULL").select(node.alias("a"), F.xxhash64(F.lit("number"), "domain", "number").alias("b"))
-    by_source = rows.filter("source IS NOT NULL AND domain IS NOT NULL").select(node.alias("a"), F.xxhash64(F.lit("source"), "domain", "source").alias("b"))
-    roots = connected(by_number.unionByName(by_source))
-    ids = tasks.filter(F.col("id").isNotNull()).select("id").distinct().withColumn("node", node)
+    # what names a node: an id, or a number or record id within a domain; lengths keep the parts of a name apart
+    name = lambda kind, *parts: F.concat_ws("\0", F.lit(kind), *[x for p in parts for x in (F.length(p).cast("string"), F.col(p))])
+    names = rows.select("id", name("id", "id").alias("own"), F.when(F.col("number").isNotNull() & F.col("domain").isNotNull(), name("number", "domain", "number")).alias("by_number"), F.when(F.col("source").isNotNull() & F.col("domain").isNotNull(), name("source", "domain", "source")).alias("by_source"))
+    seed = safe_seed(names.select(F.explode(F.array("own", "by_number", "by_source")).alias("key")).filter("key IS NOT NULL"))
+    node = lambda c: F.xxhash64(c, F.lit(seed))
+    edges = names.select(node("own").alias("a"), F.explode(F.array_compact(F.array("by_number", "by_source"))).alias("key")).select("a", node("key").alias("b"))
+    roots = connected(edges)
+    ids = tasks.filter(F.col("id").isNotNull()).select("id").distinct().withColumn("node", node(name("id", "id")))
     return ids.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
 
 
@@ -128,12 +147,11 @@ def assign_splits(tasks: DataFrame, shares: dict[str, float]) -> DataFrame:
     rows = tasks.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("rows"))
     members = checkpointed(groups.join(rows, "id"))
     sized = members.groupBy("group_id").agg(F.sum("rows").alias("size"))
-    # ranks within a size: counts per (size, slice) are bounded, then a window within each slice
-    sliced = sized.withColumn("slice", F.pmod(F.xxhash64("group_id"), F.lit(1024)))
+    # ranks within a size: a size is cut into as many slices as keep each of bounded length, and ranked within each
+    per = sized.groupBy("size").agg(F.ceil(F.count("*") / SLICE_GROUPS).alias("slices"))
+    sliced = sized.join(per, "size").withColumn("slice", F.pmod(F.xxhash64("group_id"), "slices")).drop("slices")
     counts = sliced.groupBy("size", "slice").agg(F.count("*").alias("n"))
     per_size = [(r["size"], r["n"]) for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()]
-    from pyspark.sql import Window
-
     starts = counts.withColumn("start", F.sum("n").over(Window.partitionBy("size").orderBy("slice")) - F.col("n")).select("size", "slice", "start")
     ranked = sliced.join(starts, ["size", "slice"]).withColumn("rank", F.col("start") + F.row_number().over(Window.partitionBy("size", "slice").orderBy("group_id")) - 1)
     bounds = []
