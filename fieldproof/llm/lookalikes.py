@@ -26,6 +26,30 @@ def shown_form_udf(text: pd.Series) -> pd.Series:
     return pd.Series(per_distinct(text, lambda x: None if is_empty(x) else canonical(x)), dtype=object)
 
 
+def _looks(predictions: DataFrame) -> DataFrame:
+    """(pred_id, t1, look, look2, stored) of the answers that show something; 64 bits of the task, twice 64 of the look, and 64 of the stored text."""
+    form = F.col("form")
+    return (
+        predictions.filter(F.col("answer").isNotNull())
+        .select("pred_id", task_key().alias("task"), "answer", shown_form_udf("answer").alias("form"))
+        .filter(form.isNotNull() & F.col("task").isNotNull() & (F.col("task") != ""))
+        .select("pred_id", F.xxhash64("task").alias("t1"), F.xxhash64("task", form).alias("look"), F.xxhash64(form, F.lit(7)).alias("look2"), F.xxhash64("answer").alias("stored"))
+    )
+
+
+def look_classes(predictions: DataFrame) -> DataFrame:
+    """(pred_id, class, n_links): each answer with a task, the class of answers of the task with its look, and how many of them are stored differently.
+
+    The form for tables in which one answer is repeated very often: no pair is made.
+    """
+    keys = ["t1", "look", "look2"]
+    rows = _looks(predictions)
+    stored = rows.groupBy(*keys, "stored").agg(F.count("*").alias("same"))
+    whole = stored.groupBy(*keys).agg(F.sum("same").alias("n"))
+    counted = stored.join(whole, keys).select(*keys, "stored", (F.col("n") - F.col("same")).alias("n_links"))
+    return rows.join(counted, [*keys, "stored"]).select("pred_id", F.concat(F.lower(F.hex("look")), F.lower(F.hex("look2"))).alias("class"), "n_links")
+
+
 def look_alike_answers(predictions: DataFrame) -> DataFrame:
     """(key_a, key_b), a < b, of two predictions of one task that look alike but differ as stored.
 
@@ -33,13 +57,7 @@ def look_alike_answers(predictions: DataFrame) -> DataFrame:
     take part in the pairing, which is an equi-join on (task, look) that the engine may split where
     a task is hot; equal copies are never paired with each other. Rows without task are left out.
     """
-    form = F.col("form")
-    rows = (
-        predictions.filter(F.col("answer").isNotNull())
-        .select("pred_id", task_key().alias("task"), "answer", shown_form_udf("answer").alias("form"))
-        .filter(form.isNotNull() & F.col("task").isNotNull() & (F.col("task") != ""))
-        .select("pred_id", F.xxhash64("task").alias("t1"), F.xxhash64("task", form).alias("look"), F.xxhash64(form, F.lit(7)).alias("look2"), F.xxhash64("answer").alias("stored"))
-    )
+    rows = _looks(predictions)
     keys = ["t1", "look", "look2"]
     mixed = rows.groupBy(*keys).agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select(*keys)
     kept = rows.join(mixed, keys, "left_semi")

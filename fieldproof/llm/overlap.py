@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -45,7 +46,7 @@ def leaf_hashes(text: str | None) -> list[int]:
 
 
 def with_leaves(tasks: DataFrame) -> DataFrame:
-    """(line_no, domain, train, leaves) of the tasks with a readable result."""
+    """(line_no, domain, train, class, leaves) of the tasks with a readable result; class is 128 bits of the leaves."""
     picked = tasks.filter(F.col("tool_result").isNotNull() & F.col("domain").isNotNull() & F.col("split").isin("train", "dev", "test")).select(
         F.col("line_no").cast("bigint"), "domain", (F.col("split") == "train").alias("train"), "tool_result"
     )
@@ -59,15 +60,15 @@ def with_leaves(tasks: DataFrame) -> DataFrame:
                     seen[text] = leaf_hashes(text)
                 found.append(seen[text])
             kept = pa.array([bool(x) for x in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["line_no", "domain", "train", "leaves"]).filter(kept)
+            sets = pa.array(found, pa.list_(pa.int64()))
+            classes = pa.array([xxhash.xxh128_digest(np.array(x, dtype=np.int64).tobytes()) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], classes, sets], names=["line_no", "domain", "train", "class", "leaves"]).filter(kept)
 
-    return picked.mapInArrow(run, "line_no bigint, domain string, train boolean, leaves array<bigint>")
+    return picked.mapInArrow(run, "line_no bigint, domain string, train boolean, class binary, leaves array<bigint>")
 
 
-def same_results(tasks: DataFrame) -> DataFrame:
-    """(line_a, line_b), unordered, of a training and an evaluation task whose results agree."""
-    rows = with_leaves(tasks).withColumn("class", F.xxhash64("domain", "leaves"))
-    members = checkpointed(rows)
+def agreeing_classes(members: DataFrame) -> DataFrame:
+    """(domain, c_eval, c_train): classes of equal results, one with evaluation and one with training tasks, that agree; a class agrees with itself."""
     classes = members.groupBy("domain", "class").agg(F.first("leaves").alias("leaves"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
     tokens = classes.select("class", "domain", "in_train", "in_eval", F.size("leaves").alias("n"), F.explode("leaves").alias("leaf"))
     rareness = tokens.groupBy("domain", "leaf").agg(F.count("*").alias("df"), F.max("in_train").alias("t"), F.max("in_eval").alias("e"))
@@ -88,20 +89,42 @@ def same_results(tasks: DataFrame) -> DataFrame:
         .distinct()
     )
     sets = classes.select("domain", "class", "leaves")
-    agreeing = (
+    return (
         met.join(sets.select("domain", F.col("class").alias("c_eval"), F.col("leaves").alias("le")), ["domain", "c_eval"])
         .join(sets.select("domain", F.col("class").alias("c_train"), F.col("leaves").alias("lt")), ["domain", "c_train"])
         .filter(F.size(F.array_intersect("le", "lt")) >= F.lit(AGREE) * F.greatest(F.size("le"), F.size("lt")))
         .select("domain", "c_eval", "c_train")
     )
+
+
+def same_results(tasks: DataFrame) -> DataFrame:
+    """(line_a, line_b), unordered, of a training and an evaluation task whose results agree."""
+    members = checkpointed(with_leaves(tasks))
     lines = members.select("domain", "class", "line_no", "train")
     return (
-        agreeing.join(lines.filter("NOT train").select("domain", F.col("class").alias("c_eval"), F.col("line_no").alias("line_a")), ["domain", "c_eval"])
+        agreeing_classes(members)
+        .join(lines.filter("NOT train").select("domain", F.col("class").alias("c_eval"), F.col("line_no").alias("line_a")), ["domain", "c_eval"])
         .join(lines.filter("train").select("domain", F.col("class").alias("c_train"), F.col("line_no").alias("line_b")), ["domain", "c_train"])
         .select("line_a", "line_b")
     )
 
 
+def result_links(tasks: DataFrame) -> DataFrame:
+    """(line_no, class, n_links): each task with a readable result, its class, and how many tasks of the other side agree with it.
+
+    The form for tables in which a record is copied very often: no pair of tasks is ever made, only
+    pairs of classes, and links are sums of class sizes.
+    """
+    members = checkpointed(with_leaves(tasks))
+    sizes = members.groupBy("domain", "class").agg(F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_eval"))
+    agreeing = agreeing_classes(members)
+    of_eval = agreeing.join(sizes.select("domain", F.col("class").alias("c_train"), "n_train"), ["domain", "c_train"]).groupBy("domain", F.col("c_eval").alias("class")).agg(F.sum("n_train").alias("eval_links"))
+    of_train = agreeing.join(sizes.select("domain", F.col("class").alias("c_eval"), "n_eval"), ["domain", "c_eval"]).groupBy("domain", F.col("c_train").alias("class")).agg(F.sum("n_eval").alias("train_links"))
+    counted = sizes.select("domain", "class").join(of_eval, ["domain", "class"], "left").join(of_train, ["domain", "class"], "left")
+    links = F.coalesce(F.when(F.col("train"), F.col("train_links")).otherwise(F.col("eval_links")), F.lit(0))
+    return members.select("line_no", "domain", "class", "train").join(counted, ["domain", "class"]).select("line_no", F.lower(F.hex("class")).alias("class"), links.alias("n_links"))
+
+
 def same_source(tasks: DataFrame) -> DataFrame:
     """(line_a, line_b), unordered, of a training and an evaluation task with the same record id."""
     rows = tasks.select(F.col("line_no").cast("bigint").alias("line_no"), "domain", "split", source_key().alias("source")).filter(F.col("source").isNotNull() & F.col("domain").isNotNull())

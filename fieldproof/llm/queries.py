@@ -28,6 +28,11 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(table(spark, folder, "tasks"))
 
 
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every task with a readable result, the class of results equal to it, and how many tasks of the other side agree with it."""
+    return overlap.result_links(table(spark, folder, "tasks"))
+
+
 SHARES = {"train": 0.8, "dev": 0.1, "test": 0.1}
 
 
@@ -79,6 +84,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return answers.unionByName(values)
 
 
+def p7_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every answer with its class of look-alikes and how many of them are stored differently."""
+    return lookalikes.look_classes(table(spark, folder, "predictions"))
+
+
 def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every answer with its consistent form."""
     return table(spark, folder, "predictions").select("pred_id", lookalikes.canonical_udf("answer").alias("form"))
@@ -104,5 +114,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffed.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_report": p4_report, "p5_found": p5_found, "p6_found": p6_found, "p6_languages": p6_languages, "p6_segments": p6_segments, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p3_links": p3_links, "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_report": p4_report, "p5_found": p5_found, "p6_found": p6_found, "p6_languages": p6_languages, "p6_segments": p6_segments, "p7_found": p7_found, "p7_forms": p7_forms, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL: dict[str, str] = {}
