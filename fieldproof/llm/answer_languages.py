@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from fieldproof.llm.canon import BLANK, fold_form, is_empty
-from fieldproof.llm.languages import Identifier, Profiles, canonical_lines
+from fieldproof.llm.languages import UNKNOWN, Identifier, Profiles, canonical_lines
 from fieldproof.llm.standins import holds_standin, standin_own_udf, task_key, task_own_texts
 
 _SHARED: dict[int, Identifier] = {}
@@ -67,8 +67,24 @@ def mislabelled(predictions: DataFrame, tasks: DataFrame, names: DataFrame, prof
 
 
 def main_languages(predictions: DataFrame, profiles: Profiles) -> DataFrame:
-    """(pred_id, lang, confidence, n_langs) of every answer with running words; lang has the largest part."""
-    return answer_languages(predictions, profiles).select("pred_id", F.col("langs")[0].alias("lang"), F.col("confidences")[0].alias("confidence"), F.size("langs").alias("n_langs"))
+    """(pred_id, lang, confidence, n_langs) of every answer; lang has the largest part.
+
+    Null and empty answers, and those without running words of a known language, are `und` with
+    confidence 0 and no languages.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = identifier(profiles)
+        for b in batches:
+            seen: dict = {None: (UNKNOWN, 0.0, 0)}
+            for text in b["answer"]:
+                if text not in seen:
+                    found = own.languages(text)
+                    lang = next(iter(found), UNKNOWN)
+                    seen[text] = (lang, found[lang][1] if found else 0.0, len(found))
+            yield pd.DataFrame([(p, *seen[a]) for p, a in zip(b["pred_id"], b["answer"])], columns=["pred_id", "lang", "confidence", "n_langs"])
+
+    return predictions.select("pred_id", "answer").mapInPandas(run, "pred_id bigint, lang string, confidence double, n_langs int")
 
 
 def language_segments(predictions: DataFrame, profiles: Profiles) -> DataFrame:

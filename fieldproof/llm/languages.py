@@ -11,7 +11,8 @@ key); wrongly labelled ones are dropped by a second pass over the sample. Everyt
 whole texts of all rows.
 
 Defined cases: null, empty and letterless texts have no language; look-alike letters count as the
-letters they look like.
+letters they look like; stretches in scripts without a profile, and long ones far from every profile
+of a script that several languages share, are `und`.
 """
 
 from __future__ import annotations
@@ -37,12 +38,17 @@ LANGUAGES = tuple(x for many in BY_SCRIPT.values() for x in many)
 STATUS_WORDS = frozenset({"active", "closed", "confirmed", "pending", "provisional"})
 
 STRETCH = re.compile(
-    r"(?P<cjk>[぀-ヿ㐀-䶿一-鿿豈-﫿々-〇]+)|(?P<thai>[฀-๿]+)|(?P<tibetan>[ༀ-࿿]+)"
-    r"|(?P<mongolian>[\u1820-\u18aa]+)|(?P<arabic>[ؠ-ٟٮ-ۿݐ-ݿ]+)"
+    r"(?P<cjk>[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3005-\u3007]+)|(?P<thai>[\u0e00-\u0e7f]+)|(?P<tibetan>[\u0f00-\u0fff]+)"
+    r"|(?P<mongolian>[\u1820-\u18aa]+)|(?P<arabic>[\u0620-\u065f\u066e-\u06ff\u0750-\u077f]+)"
     r"|(?P<latin>(?<![A-Za-z\u00c0-\u024f\d_])[A-Za-z\u00c0-\u024f]+(?:['\u2019][a-z]+)?(?![\w$@#/{}\[\]](?<![\u0e00-\uffff])))"
 )
-SENTENCE_END = re.compile(r"[.!?](?=\s|$)|[。!?؟།᠃\n]|(?<=[぀-鿿])\s(?=[぀-鿿])")
-KANA = re.compile("[぀-ヿ]")
+# letters of scripts that no profile is for, in the canonical form: Greek, Cyrillic, Armenian, Hebrew, those of India and south-east Asia, Georgian, Hangul, Ethiopic and others
+OTHER = re.compile(r"[\u0370-\u05ff\u0700-\u074f\u0780-\u0dff\u0e80-\u0eff\u1000-\u17ff\u1900-\u1cff\u2c80-\u2dff\ua000-\uabff\uac00-\ud7af]")
+LETTERS = re.compile(r"[^\W\d_]+")
+SENTENCE_END = re.compile(r"[.!?](?=\s|$)|[\u3002!?\u061f\u0f0d\u1803\n]|(?<=[\u3040-\u9fff])\s(?=[\u3040-\u9fff])")
+UNKNOWN = "und"
+# a stretch of this many letters that is further than this from every profile of its script is in none of their languages
+FAR, FAR_LETTERS = 0.58, 80
 
 
 class Stretch(NamedTuple):
@@ -97,9 +103,8 @@ class Identifier:
         if known is None:
             order = ranked(words, TEXT_GRAMS)
             found = sorted((out_of_place(order, self.profiles.get(x, {})), x) for x in BY_SCRIPT[script])
-            if script == "cjk" and any(map(KANA.search, words)):
-                found.sort(key=lambda x: x[1] != "ja")  # kana is written in one language only
-                known = ("ja", max(0.5, 1 - found[0][0]))
+            if len(found) > 1 and found[0][0] > FAR and sum(map(len, words)) >= FAR_LETTERS:
+                known = (UNKNOWN, round(found[0][0], 4))
             elif len(found) == 1:
                 known = (found[0][1], round(1 - found[0][0], 4))
             else:
@@ -114,11 +119,18 @@ class Identifier:
         """Per sentence and script with running words: its place, language and confidence; text in canonical form."""
         out = []
         start = 0
+        foreign = OTHER.search(text) is not None
         for end in [m.end() for m in SENTENCE_END.finditer(text)] + [len(text)]:
             if end > start:
                 by: dict[str, list] = defaultdict(list)
                 for m in STRETCH.finditer(text, start, end):
                     by[m.lastgroup].append(m)
+                if foreign and (words_of_others := [m for m in LETTERS.finditer(text, start, end) if OTHER.search(m.group())]):
+                    size = sum(len(m.group()) for m in words_of_others)
+                    # where other letters prevail, Latin ones are those of words whose letters all look Latin
+                    if size >= sum(len(m.group()) for m in by.get("latin", ())):
+                        by.pop("latin", None)
+                        out.append(Stretch(words_of_others[0].start(), words_of_others[-1].end(), UNKNOWN, 1.0, size))
                 for script, found in by.items():
                     words = [m.group() for m in found]
                     if script == "latin":
@@ -145,10 +157,12 @@ class Identifier:
         return self.form_languages(canonical_lines(text))
 
     def form_languages(self, form: str) -> dict[str, tuple[int, float]]:
-        """languages() of a text that is in canonical form already."""
+        """languages() of a text that is in canonical form already; stretches in no known language don't count."""
         size: Counter = Counter()
         sure: dict[str, float] = defaultdict(float)
         for s in self.stretches(form):
+            if s.lang == UNKNOWN:
+                continue
             size[s.lang] += s.letters
             sure[s.lang] = max(sure[s.lang], s.confidence)
         kept = {x: n for x, n in size.items() if len(size) == 1 or n >= FEWEST.get(x, 8)}
