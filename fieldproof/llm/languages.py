@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -37,11 +38,17 @@ LANGUAGES = tuple(x for many in BY_SCRIPT.values() for x in many)
 # Status words that records hold and answers may repeat raw.
 STATUS_WORDS = frozenset({"active", "closed", "confirmed", "pending", "provisional"})
 
-STRETCH = re.compile(
-    r"(?P<cjk>[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3005-\u3007]+)|(?P<thai>[\u0e00-\u0e7f]+)|(?P<tibetan>[\u0f00-\u0fff]+)"
-    r"|(?P<mongolian>[\u1820-\u18aa]+)|(?P<arabic>[\u0620-\u065f\u066e-\u06ff\u0750-\u077f]+)"
-    r"|(?P<latin>(?<![A-Za-z\u00c0-\u024f\d_])[A-Za-z\u00c0-\u024f]+(?:['\u2019][a-z]+)?(?![\w$@#/{}\[\]](?<![\u0e00-\uffff])))"
-)
+# how words of each script are told
+WORDS = {
+    "cjk": r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3005-\u3007]+",
+    "thai": r"[\u0e00-\u0e7f]+",
+    "tibetan": r"[\u0f00-\u0fff]+",
+    "mongolian": r"[\u1820-\u18aa]+",
+    "arabic": r"[\u0620-\u065f\u066e-\u06ff\u0750-\u077f]+",
+    "latin": r"(?<![A-Za-z\u00c0-\u024f\d_])[A-Za-z\u00c0-\u024f]+(?:['\u2019][a-z]+)?(?![\w$@#/{}\[\]](?<![\u0e00-\uffff]))",
+}
+STRETCH = re.compile("|".join(f"(?P<{script}>{word})" for script, word in WORDS.items()))
+ONE_SCRIPT = [(script, re.compile(word).findall) for script, word in WORDS.items()]
 # letters of scripts that no profile is for, in the canonical form: Greek, Cyrillic, Armenian, Hebrew, those of India and south-east Asia, Georgian, Hangul, Ethiopic and others
 OTHER = re.compile(r"[\u0370-\u05ff\u0700-\u074f\u0780-\u0dff\u0e80-\u0eff\u1000-\u17ff\u1900-\u1cff\u2c80-\u2dff\ua000-\uabff\uac00-\ud7af]")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -88,6 +95,13 @@ def out_of_place(order: list[str], profile: dict[str, int]) -> float:
     return total / (PROFILE_SIZE * max(1, len(order)))
 
 
+def running_words(words: list[str]) -> list[str]:
+    """The words of Latin letters that aren't names, codes or raw status words; words in capitals count where they prevail."""
+    running = [w for w in words if w.islower() and len(w) > 1 and w not in STATUS_WORDS]
+    capitals = [w for w in words if w.isupper() and len(w) > 1 and w.lower() not in STATUS_WORDS]
+    return running + capitals if len(capitals) > 2 and len(capitals) > len(running) else running
+
+
 class Identifier:
     """Names the languages of texts by profiles."""
 
@@ -134,18 +148,31 @@ class Identifier:
                 for script, found in by.items():
                     words = [m.group() for m in found]
                     if script == "latin":
-                        running = [m for m in found if m.group().islower() and len(m.group()) > 1 and m.group() not in STATUS_WORDS]
-                        capitals = [m for m in found if m.group().isupper() and len(m.group()) > 1 and m.group().lower() not in STATUS_WORDS]
-                        if len(capitals) > 2 and len(capitals) > len(running):
-                            running += capitals
-                        if not running:
+                        picked = set(running_words(words))
+                        found = [m for m in found if m.group() in picked]
+                        if not found:
                             continue
-                        found, words = running, [m.group().lower() for m in running]
+                        words = [m.group().lower() for m in found]
                     lang, confidence = self.name(script, words)
                     out.append(Stretch(found[0].start(), found[-1].end(), lang, confidence, len(words) if script == "latin" else sum(map(len, words))))
             start = end
         return out
 
+    def spoken(self, text: str) -> Iterator[tuple[str, float, int]]:
+        """(language, confidence, letters) of stretches() in known languages; without places, which cost most, where all scripts are known."""
+        if OTHER.search(text):
+            yield from ((s.lang, s.confidence, s.letters) for s in self.stretches(text) if s.lang != UNKNOWN)
+            return
+        for sentence in SENTENCE_END.split(text):
+            for script, find in ONE_SCRIPT:
+                words = find(sentence) if sentence else ()
+                if words and script == "latin":
+                    words = [w.lower() for w in running_words(words)]
+                if words:
+                    lang, confidence = self.name(script, words)
+                    if lang != UNKNOWN:
+                        yield lang, confidence, len(words) if script == "latin" else sum(map(len, words))
+
     def languages(self, text: str | None) -> dict[str, tuple[int, float]]:
         """{language: (letters, confidence)} of the running words of a text, the largest part first.
 
@@ -160,11 +187,9 @@ class Identifier:
         """languages() of a text that is in canonical form already; stretches in no known language don't count."""
         size: Counter = Counter()
         sure: dict[str, float] = defaultdict(float)
-        for s in self.stretches(form):
-            if s.lang == UNKNOWN:
-                continue
-            size[s.lang] += s.letters
-            sure[s.lang] = max(sure[s.lang], s.confidence)
+        for lang, confidence, letters in self.spoken(form):
+            size[lang] += letters
+            sure[lang] = max(sure[lang], confidence)
         kept = {x: n for x, n in size.items() if len(size) == 1 or n >= FEWEST.get(x, 8)}
         return {x: (n, sure[x]) for x, n in sorted(kept.items(), key=lambda x: (-x[1], x[0]))}
 

@@ -77,6 +77,7 @@ def query_letters(text: str) -> str:
 
 
 LEAD_IN = 20
+SAID = re.compile(r"[^\W_]+")
 
 
 def copies_query(low: str, query: str) -> bool:
@@ -84,7 +85,7 @@ def copies_query(low: str, query: str) -> bool:
     asked = query_letters(query)
     if not asked:
         return False
-    said = re.sub(r"[\W_]+", "", low)
+    said = "".join(SAID.findall(low))
     return asked in said and len(said.replace(asked, "")) <= LEAD_IN
 
 
@@ -235,7 +236,7 @@ def looks(predictions: DataFrame, tasks: DataFrame, profiles: Profiles) -> DataF
                 # a full stop after a digit may be the point of a number that was cut
                 if closed and body and body[-1].isdigit() and form[at] == "." and has_task and not whole and re.search(r"\d$", body):
                     closed = None if any(v.startswith(re.search(r"[\d.,]+$", body).group() + ".") for v in plain_values) else closed
-                rows.append((pred, task, domain, defect, bool(DECLINES.search(low)), grounded, mask[:OPENING], bool(closed) and not cut, lang, None if cut else tail, whole))
+                rows.append((pred, task, domain, defect, not grounded and bool(DECLINES.search(low)), grounded, mask[:OPENING], bool(closed) and not cut, lang, None if cut else tail, whole))
             if rows:
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in LOOKS.split(", ")])
 

@@ -173,6 +173,8 @@ PLACEHOLDERS = re.compile(
     r"|(?<![A-Za-z])(?:undefined|NaN)(?![A-Za-z])"
 )
 FILLER = re.compile(r"^\W*x{2,}(?:[\W_]+x{2,})+\W*$|^\W*x{5,}\W*$|\b(?:x{3,}[ .,]+){2,}x{2,}")
+# marks of which every placeholder holds one: texts without are not searched
+HINTS = ("{", "[", "<", "%", "#", "$", "【", "__", "@@", "undefined", "NaN")
 COVERAGE = 0.5
 
 
@@ -197,12 +199,17 @@ def looks_like_standin(text: str | None, own: Iterable[str] = ()) -> bool:
     return holds_standin(form, fold_form(form), own)
 
 
+def holds_placeholder(form: str) -> bool:
+    """Whether a text in canonical form holds an unfilled or failed placeholder."""
+    return any(x in form for x in HINTS) and PLACEHOLDERS.search(form) is not None
+
+
 def holds_standin(form: str, low: str, own: Iterable[str] = ()) -> bool:
     """looks_like_standin() of a text given in canonical and in folded form."""
     for name in own:
         form = re.sub(re.escape(canonical(name)), " ", form, flags=re.IGNORECASE)
         low = low.replace(folded(name), " ")
-    if PLACEHOLDERS.search(form) or FILLER.search(low):
+    if holds_placeholder(form) or "xx" in low and FILLER.search(low):
         return True
     covered, upto = 0, 0
     for end, (length, strong) in automaton().iter(low):
@@ -246,7 +253,7 @@ def own_texts(tool_result: str | None, user_query: str | None, values: Iterable[
 def looks_like_part(text: str) -> bool:
     """Whether any pattern or phrase, weak ones too, is found anywhere."""
     form = canonical(text)
-    return bool(PLACEHOLDERS.search(form)) or next(automaton().iter(fold_form(form)), None) is not None
+    return holds_placeholder(form) or next(automaton().iter(fold_form(form)), None) is not None
 
 
 def task_own_texts(tasks: DataFrame) -> DataFrame:
