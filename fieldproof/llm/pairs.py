@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from fieldproof.functions.jsontext import UNREADABLE, leaves, read_json
 from fieldproof.llm.answer_languages import identifier
 from fieldproof.llm.canon import BLANK, fold_form, folded, is_empty
-from fieldproof.llm.grouped_split import connected
+from fieldproof.llm.grouped_split import connected, safe_seed
 from fieldproof.llm.languages import Profiles, canonical_lines
 from fieldproof.llm.standins import holds_standin, own_texts, task_key
 from fieldproof.session import checkpointed
@@ -261,7 +261,8 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"opening": b["opening"], "bands": [minhash(x) for x in b["opening"]]})
 
     shingled = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (SHINGLE - 1))), lambda i: F.substring(c, i, F.lit(SHINGLE))))
-    keyed = checkpointed(openings.select("opening").mapInPandas(run, "opening string, bands array<bigint>").withColumn("node", F.xxhash64("opening")))
+    seed = safe_seed(openings.select(F.col("opening").alias("key")))
+    keyed = checkpointed(openings.select("opening").mapInPandas(run, "opening string, bands array<bigint>").withColumn("node", F.xxhash64("opening", F.lit(seed))))
     bands = keyed.select("node", shingled(F.col("opening")).alias("shingles"), F.explode("bands").alias("band"))
     # all pairs of a band are compared: large bands are cut into blocks, and every two blocks meet under a key of their own
     blocks = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
@@ -277,13 +278,13 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
 
 
 def refusal_openings(rows: DataFrame) -> DataFrame:
-    """(opening) of the refusal templates."""
+    """(opening, recurs) of the refusal templates: those found by recurrence, and small clusters that decline in so many words."""
     said = rows.filter(F.col("opening").isNotNull())
     stats = checkpointed(
         said.groupBy("opening").agg(
             F.count("*").alias("n"),
             F.sum(F.col("grounded").cast("bigint")).alias("n_grounded"),
-            F.max("declines").alias("declines"),
+            F.sum(F.col("declines").cast("bigint")).alias("n_declines"),
         )
     )
     head = F.substring("opening", 1, HEAD)
@@ -294,12 +295,14 @@ def refusal_openings(rows: DataFrame) -> DataFrame:
     counted = lambda c, name: seen.filter(F.col(c).isNotNull()).select("cluster", c).distinct().groupBy("cluster").agg(F.count("*").alias(name))
     heads = stats.groupBy(head.alias("head")).agg((F.sum("n_grounded") / F.sum("n")).alias("led"))
     whole = clusters.join(heads, head == F.col("head")).groupBy("cluster").agg(
-        F.max("declines").alias("declines"),
+        (F.sum("n_declines") / F.sum("n")).alias("declining"),
         F.avg("led").alias("led"),
     )
     whole = whole.join(counted("task_id", "n_tasks"), "cluster", "left").join(counted("domain", "n_domains"), "cluster", "left")
-    kept = whole.filter(((F.col("n_tasks") >= RECURS_TASKS) & (F.col("n_domains") >= RECURS_DOMAINS) & (F.col("led") < 0.5)) | F.col("declines"))
-    return clusters.join(kept.select("cluster"), "cluster", "left_semi").select("opening")
+    recurs = (F.coalesce("n_tasks", F.lit(0)) >= RECURS_TASKS) & (F.coalesce("n_domains", F.lit(0)) >= RECURS_DOMAINS)
+    # what recurs is judged by recurrence alone; clusters too small for that by what most of their answers say
+    kept = whole.filter(F.when(recurs, F.col("led") < 0.5).otherwise(F.col("declining") >= 0.5))
+    return clusters.join(kept.select("cluster", recurs.alias("recurs")), "cluster").select("opening", "recurs")
 
 
 def closings(rows: DataFrame) -> DataFrame:
