@@ -2,9 +2,11 @@
 
 A multi-pattern automaton looks for phrases of error pages, filler text and notices that scripts
 or cookies are needed, in the nine languages of the data; patterns look for unfilled placeholders.
-A text is excluded when a phrase that never occurs in content is found, or when the coverage of the
-weaker phrases is high relative to the length of the text. What a record calls itself is taken out
-of the text first, so a book called like an error page stays.
+A text is excluded when, in one of its sentences that holds a strong phrase, the phrases cover a
+high share of the letters (the rest being the usual words of such notices, which are phrases too),
+or when weaker phrases cover most of the whole text. A sentence that only speaks of such a page
+has other words and stays. A placeholder excludes whatever stands around it. What a record calls
+itself is taken out of the text first, so a book called like an error page stays.
 
 Defined cases: null, blank and no-value words are no stand-ins (they are empty, not filled wrongly).
 """
@@ -147,6 +149,59 @@ session has expired
 undefined
 nan
 object object
+未找到页面
+页面不存在
+示例文本
+维护中
+サンプルテキスト
+準備中です
+工事中
+ไม่พบหน้า
+ข้อความตัวอย่าง
+halaman tidak ditemukan
+teks contoh
+sedang dalam perbaikan
+"""
+# The usual words around such phrases, which count only beside a strong one.
+CONTEXT_PHRASES = """
+please
+error
+http
+to continue
+to continue using
+using this application
+to view this
+to see this
+this value
+the result can be shown
+in your browser
+your browser
+this site
+try again
+again later
+retry after
+while contacting
+contacting the
+lookup service
+the page
+on this server
+<html><head><title>
+</title></head><body></body></html>
+请
+刷新页面
+后重试
+稍后再试
+后再继续访问
+ください
+ご利用には
+もう一度
+กรุณา
+ลองใหม่ภายหลัง
+ในเบราว์เซอร์ของคุณ
+silakan
+coba lagi
+di peramban anda
+untuk melanjutkan
 """
 # Shapes of unfilled or failed placeholders, in canonical form (case kept), of any length.
 # What is between the marks is taken possessively and ends at the next mark, so a search stays linear.
@@ -175,18 +230,21 @@ PLACEHOLDERS = re.compile(
 FILLER = re.compile(r"^\W*x{2,}(?:[\W_]+x{2,})+\W*$|^\W*x{5,}\W*$|\b(?:x{3,}[ .,]+){2,}x{2,}")
 # marks of which every placeholder holds one: texts without are not searched
 HINTS = ("{", "[", "<", "%", "#", "$", "【", "__", "@@", "undefined", "NaN")
-COVERAGE = 0.5
+COVERAGE = 0.5  # of the letters of a text, by strong and weak phrases
+SENTENCE_COVERAGE = 0.4  # of the letters of a sentence that holds a strong phrase, by all phrases
+STRONG, WEAK, CONTEXT = 2, 1, 0
+SENTENCE = re.compile(r"[.!?]+(?=\s|$)|[\n\u3002\u061f\u0f0d\u1803]")
 
 
 @lru_cache(maxsize=1)
 def automaton():
-    """The phrase automaton; values are (length, strong)."""
+    """The phrase automaton; values are (length, kind)."""
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for phrases, strong in ((WEAK_PHRASES, False), (STRONG_PHRASES, True)):
+    for phrases, kind in ((CONTEXT_PHRASES, CONTEXT), (WEAK_PHRASES, WEAK), (STRONG_PHRASES, STRONG)):
         for phrase in filter(None, map(folded, phrases.split("\n"))):
-            machine.add_word(phrase, (len(phrase), strong))
+            machine.add_word(phrase, (len(phrase), kind))
     machine.make_automaton()
     return machine
 
@@ -211,15 +269,30 @@ def holds_standin(form: str, low: str, own: Iterable[str] = ()) -> bool:
         low = low.replace(folded(name), " ")
     if holds_placeholder(form) or "xx" in low and FILLER.search(low):
         return True
-    covered, upto = 0, 0
-    for end, (length, strong) in automaton().iter(low):
-        if strong:
+    hits = [(end + 1 - length, end + 1, kind) for end, (length, kind) in automaton().iter(low)]
+    # weaker phrases are whole words
+    hits = [h for h in hits if h[2] == STRONG or not (low[h[1] : h[1] + 1].isalnum() and low[h[1] - 1].isalnum() or low[h[0]].isalnum() and h[0] and low[h[0] - 1].isalnum()) or low[h[0]] > "\u0e00"]
+    if not any(kind > CONTEXT for _, _, kind in hits):
+        return False
+    if covers([h for h in hits if h[2] > CONTEXT], low, 0, len(low), COVERAGE):
+        return True
+    begin = 0
+    for end in [*(m.end() for m in SENTENCE.finditer(low)), len(low)] if any(kind == STRONG for _, _, kind in hits) else ():
+        inside = [h for h in hits if h[0] < end and h[1] > begin]
+        if any(kind == STRONG for _, _, kind in inside) and covers(inside, low, begin, end, SENTENCE_COVERAGE):
             return True
-        start = max(end + 1 - length, upto)
-        if start <= end and not (low[end + 1 : end + 2].isalnum() or low[end - length : end - length + 1].isalnum() and end >= length):
-            covered += end + 1 - start
-            upto = end + 1
-    return covered > 0 and covered >= COVERAGE * len(re.sub(r"\W", "", low))
+        begin = end
+    return False
+
+
+def covers(hits: list[tuple[int, int, int]], text: str, begin: int, end: int, share: float) -> bool:
+    """Whether hits cover a share of the letters and digits between two places of a text."""
+    letters = sum(map(str.isalnum, text[begin:end]))
+    covered, upto = 0, begin
+    for a, b, _ in sorted(hits):
+        covered += sum(map(str.isalnum, text[max(a, upto) : min(b, end)]))
+        upto = max(upto, b)
+    return covered > 0 and covered >= share * letters
 
 
 LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)(?:"|$)')
@@ -253,7 +326,7 @@ def own_texts(tool_result: str | None, user_query: str | None, values: Iterable[
 def looks_like_part(text: str) -> bool:
     """Whether any pattern or phrase, weak ones too, is found anywhere."""
     form = canonical(text)
-    return holds_placeholder(form) or next(automaton().iter(fold_form(form)), None) is not None
+    return holds_placeholder(form) or any(kind > CONTEXT for _, (_, kind) in automaton().iter(fold_form(form)))
 
 
 def task_own_texts(tasks: DataFrame) -> DataFrame:
