@@ -134,7 +134,7 @@ class Identifier:
         out = []
         start = 0
         foreign = OTHER.search(text) is not None
-        for end in [m.end() for m in SENTENCE_END.finditer(text)] + [len(text)]:
+        for end, then in [m.span() for m in SENTENCE_END.finditer(text)] + [(len(text), len(text))]:
             if end > start:
                 by: dict[str, list] = defaultdict(list)
                 for m in STRETCH.finditer(text, start, end):
@@ -155,7 +155,7 @@ class Identifier:
                         words = [m.group().lower() for m in found]
                     lang, confidence = self.name(script, words)
                     out.append(Stretch(found[0].start(), found[-1].end(), lang, confidence, len(words) if script == "latin" else sum(map(len, words))))
-            start = end
+            start = then
         return out
 
     def spoken(self, text: str) -> Iterator[tuple[str, float, int]]:

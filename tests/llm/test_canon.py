@@ -79,3 +79,11 @@ def test_values(make):
     rows = [{"tool_result": result, "field_specs": specs}, {"tool_result": '"{\\"a\\": {\\"b\\": [{\\"c\\": \\"Rose\\"}]}}"', "field_specs": specs}, {"tool_result": f"[{result}]", "field_specs": specs}, {"tool_result": result[:20], "field_specs": specs}, {"tool_result": None, "field_specs": specs}, {"tool_result": result}]
     assert sorted(map(tuple, look_alike_values(make.tasks(rows)).collect())) == [(0, 0), (1, 0), (2, 0)]
     assert value_at([[None, {"x": [1, 2]}]], "x[1]") == 2
+
+
+def test_empty_at_any_length():
+    from fieldproof.llm.canon import is_empty
+
+    for n in (1, 60, 61, 500):
+        assert is_empty("\u3164" * n) and is_empty("\u200b" * n + "N/A" + " ." * n) and is_empty("- " * n)
+        assert not is_empty("\u3164" * n + "Rose is the name") and not is_empty("." * n + "天気" * n)

@@ -135,7 +135,11 @@ def test_exact_domains_and_tasks(spark):
     first, second = "that is not for me to say, ask again", "that is not for me to say, ask again!"
     three = ["book", "code_repo", "earthquake"]  # the last two have equal hashes modulo 64
     rows = [(i, f"t{i}", three[i % 3], first, False, False) for i in range(6)]
-    assert [r[0] for r in pairs.refusal_openings(spark.createDataFrame(rows, ROW)).collect()] == [first]
+    assert [tuple(r) for r in pairs.refusal_openings(spark.createDataFrame(rows, ROW)).collect()] == [(first, True)]
+    # in a cluster that recurs one answer that declines decides nothing, in a small one most answers do
+    led = [(100 + i, f"v{i}", "book", first[:12] + f" which is {i}", True, False) for i in range(9)]
+    assert pairs.refusal_openings(spark.createDataFrame(rows[:5] + [(9, "t9", "food", first, False, True)] + led, ROW)).count() == 0
+    assert [tuple(r) for r in pairs.refusal_openings(spark.createDataFrame([(1, "t", "book", first, False, True)], ROW)).collect()] == [(first, False)]
     # three tasks with two openings each are three tasks
     rows = [(2 * i + k, f"t{i}", three[i], x, False, False) for i in range(3) for k, x in enumerate((first, second))]
     assert pairs.refusal_openings(spark.createDataFrame(rows, ROW)).count() == 0
@@ -167,3 +171,27 @@ def test_profiles_read_whole_texts(spark):
     documents = spark.createDataFrame([(1, "12 " * 2000 + SENTENCES["th"][0], "th")], "doc_id bigint, text string, lang string")
     names = spark.createDataFrame([("th", "th")], "label string, code string")
     assert "th" in fit_on_documents(documents, names)
+
+
+def test_unknown_languages(spark, make, profiles):
+    from fieldproof.llm import answer_languages
+
+    texts = {
+        "빠른 갈색 여우가 게으른 개를 뛰어넘고 어두운 숲으로 달려갔습니다.": "und",
+        "Быстрая коричневая лиса прыгает через ленивую собаку и потом бежит в тёмный лес.": "und",
+        "तेज भूरी लोमड़ी आलसी कुत्ते के ऊपर कूदती है": "und",
+        "12 + 3 = 15": "und", "": "und", None: "und",
+        SENTENCES["th"][0]: "th", SENTENCES["ja"][0]: "ja", SENTENCES["zh"][0]: "zh",
+    }
+    rows = answer_languages.main_languages(make.predictions([{"id": "t", "answer": a} for a in texts]), profiles).orderBy("pred_id").collect()
+    assert [r["lang"] for r in rows] == list(texts.values())
+    assert all((r["confidence"] == 0.0) == (r["lang"] == "und") for r in rows)
+
+
+def test_words_by_script_are_those_of_stretches(profiles):
+    from fieldproof.llm.languages import Identifier, canonical_lines
+
+    named = Identifier(profiles)
+    for text in [x for many in SENTENCES.values() for x in many] + ["The name is Rose, and 名称为Rose。状態は確認済みです。\nสถานะคือ ชั่วคราว OK", "ALL CAPITALS ARE WORDS HERE, don't they?"]:
+        form = canonical_lines(text)
+        assert sorted((s.lang, s.confidence, s.letters) for s in named.stretches(form)) == sorted(named.spoken(form)), text

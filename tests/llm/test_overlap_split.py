@@ -121,3 +121,22 @@ def test_deal_is_greedy():
         total = sum(s * n for s, n in sizes)
         left = {k: shares[k] * total - sum(s * n for s, x in got.items() for name, n in x if name == k) for k in shares}
         assert sorted(round(x, 6) for x in left.values()) == sorted(round(x, 6) for x in lacking.values())
+
+
+def test_links_count_what_pairs_name(spark, make):
+    from fieldproof.llm import overlap
+
+    a, b, c = ('{"a": 1, "b": 2, "c": 3, "d": %d}' % i for i in (4, 5, 6))
+    rows = [("train", a), ("dev", a), ("test", b), ("train", b), ("dev", '{"x": 1}'), ("train", c), ("train", None), ("dev", a)]
+    tasks = make.tasks([{"id": f"t_{i}", "domain": "book", "split": s, "tool_result": r} for i, (s, r) in enumerate(rows)])
+    pairs = [tuple(sorted(r)) for r in overlap.same_results(tasks).distinct().collect()]
+    links = {r["line_no"]: r["n_links"] for r in overlap.result_links(tasks).collect()}
+    assert links == {i: sum(i in p for p in pairs) for i, (_, r) in enumerate(rows) if r} and sum(links.values()) > 0
+    assert overlap.result_links(tasks.limit(0)).count() == 0
+
+
+def test_seeds(spark):
+    from fieldproof.llm.grouped_split import safe_seed
+
+    assert safe_seed(spark.range(1000).selectExpr("cast(id % 10 AS string) AS key")) == 0
+    assert safe_seed(spark.createDataFrame([], "key string")) == 0

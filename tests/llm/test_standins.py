@@ -57,3 +57,23 @@ def test_tables(make):
     assert sorted(r[0] for r in standin_answers(predictions, tasks).collect()) == [1, 5, 6, 7]
     assert sorted(map(tuple, standin_specs(tasks).collect())) == [(0, 1), (0, 2), (3, 0)]
     assert standin_answers(predictions.limit(0), tasks.limit(0)).count() == 0 and standin_specs(tasks.limit(0)).count() == 0
+
+
+SPEAK_OF = [  # held out: sentences about such pages, not in the tables
+    "The author shows in chapter three how to enable JavaScript in old browsers for tests.",
+    "A report on 502 bad gateway errors was written by the team last week.",
+    "In 2019 the magazine wrote about sites whose visitors had to enable cookies before they could read anything.",
+    "The error 403 forbidden means that the user who asked has no right to read what the server keeps there.",
+    "Halaman itu menjelaskan cara aktifkan JavaScript pada mesin lama yang masih dipakai di banyak sekolah.",
+    "The museum was under construction in 1911, and the forbidden city was closed.",
+    "この本の第三章では、古い計算機でJavaScriptを有効にする歴史的な経緯と手順、そして注意点を順に詳しく説明しています。",
+]
+NOTICES = ["Please enable JavaScript to continue.", "502 Bad Gateway", "502 bad gateway\nnginx/1.18", "名称为Rose。请启用浏览器的脚本功能后再继续访问。", "Silakan aktifkan JavaScript di peramban Anda.", "The count is four. Error: request timed out while contacting the lookup service."]
+
+
+def test_sentences_that_speak_of_errors():
+    assert not [t for t in SPEAK_OF if looks_like_standin(t)]
+    assert all(map(looks_like_standin, NOTICES))
+    # a notice is found wherever it stands in a long text
+    assert looks_like_standin("The weather is fine and the count is four. " * 200 + "Please enable JavaScript to continue. " + "The weather is fine. " * 200)
+    assert not looks_like_standin(" ".join(SPEAK_OF * 30))

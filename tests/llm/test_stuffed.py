@@ -77,3 +77,11 @@ def test_pages(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, key string")
     assert sorted(r["doc_id"] for r in stuffed_pages(df, "doc_id", "text").collect()) == [*range(len(STUFFED)), len(rows) - 1]
     assert stuffed_pages(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_links_and_brackets_of_any_length():
+    for n in (10, 190, 450, 5000):
+        assert is_stuffed("\n".join(f'<a href="https://nectar.invalid/{"x" * n}{i}">Bomobe {"Rama " * (n // 5)}</a>' for i in range(9)))
+        assert is_stuffed(" ".join(f"[{'tag ' * (n // 4)}{i}]" for i in range(9)))
+        assert is_stuffed("\n".join(f"[gantry {'x' * n}](https://quarry.test/{i})" for i in range(9)))
+    assert not is_stuffed(SENTENCE * 3 + "<a " * 20_000)
