@@ -22,18 +22,24 @@ MONGOLIAN = r"\x{1800}-\x{18af}"
 CYRILLIC = r"\x{0400}-\x{052f}"
 
 # Words of which an Indonesian answer holds at least one.
-INDONESIAN_MARKERS = (
-    "adalah berikut bumi dari dengan ditinjau gempa hasil informasi kekuatan kode lisensi lokasi menurut negara pada paket pendapatan "
-    "repositori terjadi telah untuk versi wilayah waktu alat menunjukkan record produk buku cuaca tanggal penerbit judul hari libur jumlah "
-    "diterbitkan ditemukan maksimum"
-).split()
+INDONESIAN_MARKERS = [
+    "adalah", "berikut", "bumi", "dari", "dengan", "ditinjau", "gempa", "hasil", "informasi", "kekuatan", "kode", "lisensi",
+    "lokasi", "menurut", "negara", "pada", "paket", "pendapatan", "repositori", "terjadi", "telah", "untuk", "versi", "wilayah",
+    "waktu", "alat", "menunjukkan", "record", "produk", "buku", "cuaca", "tanggal", "penerbit", "judul", "hari", "libur", "jumlah",
+    "diterbitkan", "ditemukan", "maksimum",
+]
 # Strings of which a Uyghur answer holds at least one.
-UYGHUR_MARKERS = "نىڭ بۇ كۈنى مەھسۇلات نەتىجىسى چۈشەندۈر كىتاب تۈرى ھەققىدە تۆۋەندىكى ئۇچۇرلار تەمىنلەندى ئىشلىتىلگەن نەشرى مەنبە لىتسېنزىيە".split()
+UYGHUR_MARKERS = [
+    "نىڭ", "بۇ", "كۈنى", "مەھسۇلات", "نەتىجىسى", "چۈشەندۈر", "كىتاب", "تۈرى", "ھەققىدە", "تۆۋەندىكى", "ئۇچۇرلار", "تەمىنلەندى",
+    "ئىشلىتىلگەن", "نەشرى", "مەنبە", "لىتسېنزىيە",
+]
 # Strings of which a Kazakh answer holds at least two; each counts by itself.
-KAZAKH_MARKERS = (
-    "اقىبارات|اقىباراتتى|اتى|اتاۋى|اۋا رايى|ايماعى|استاناسى|باسپاسى|بەت|بەت سانى|بويلىق|بويىنشا|جازباسى|جاعدايى|جاريا|جاۋىن|جالپى|جىلى|دەم الىس|دەڭگەيى|"
-    "قۇرال|كورسەتەدى|كورسەتىلگەن|كودى|كۇشى|كۇنى|كەڭدىك|كىرىس|كىتاپ|ناتيجەسى|نۇسقا|نۇسقاسى|سانى|تاۋار|تالابى|تارماعى|تۋرالى|تۋرى|تۇسىندىرىڭىز|تىلى|ورنى|ۋاقىت|ەلدىڭ"
-).split("|")
+KAZAKH_MARKERS = [
+    "اقىبارات", "اقىباراتتى", "اتى", "اتاۋى", "اۋا رايى", "ايماعى", "استاناسى", "باسپاسى", "بەت", "بەت سانى", "بويلىق", "بويىنشا",
+    "جازباسى", "جاعدايى", "جاريا", "جاۋىن", "جالپى", "جىلى", "دەم الىس", "دەڭگەيى", "قۇرال", "كورسەتەدى", "كورسەتىلگەن", "كودى",
+    "كۇشى", "كۇنى", "كەڭدىك", "كىرىس", "كىتاپ", "ناتيجەسى", "نۇسقا", "نۇسقاسى", "سانى", "تاۋار", "تالابى", "تارماعى", "تۋرالى",
+    "تۋرى", "تۇسىندىرىڭىز", "تىلى", "ورنى", "ۋاقىت", "ەلدىڭ",
+]
 KAZAKH_LEAST = 2
 ENGLISH_LEAST_WORDS = 3
 
@@ -43,20 +49,20 @@ OTHER_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹༠༡༢༣༤༥༦༧
 
 # Month names of English, Indonesian and Thai by number.
 MONTH_NAMES = {
-    1: "january jan januari มกราคม",
-    2: "february feb februari กุมภาพันธ์",
-    3: "march mar maret มีนาคม",
-    4: "april apr เมษายน",
-    5: "may mei พฤษภาคม",
-    6: "june jun juni มิถุนายน",
-    7: "july jul juli กรกฎาคม",
-    8: "august aug agustus สิงหาคม",
-    9: "september sep กันยายน",
-    10: "october oct oktober ตุลาคม",
-    11: "november nov พฤศจิกายน",
-    12: "december dec desember ธันวาคม",
+    1: ["january", "jan", "januari", "มกราคม"],
+    2: ["february", "feb", "februari", "กุมภาพันธ์"],
+    3: ["march", "mar", "maret", "มีนาคม"],
+    4: ["april", "apr", "เมษายน"],
+    5: ["may", "mei", "พฤษภาคม"],
+    6: ["june", "jun", "juni", "มิถุนายน"],
+    7: ["july", "jul", "juli", "กรกฎาคม"],
+    8: ["august", "aug", "agustus", "สิงหาคม"],
+    9: ["september", "sep", "กันยายน"],
+    10: ["october", "oct", "oktober", "ตุลาคม"],
+    11: ["november", "nov", "พฤศจิกายน"],
+    12: ["december", "dec", "desember", "ธันวาคม"],
 }
-MONTHS = {name: number for number, names in MONTH_NAMES.items() for name in names.split()}
+MONTHS = {name: number for number, names in MONTH_NAMES.items() for name in names}
 BUDDHIST_FROM, BUDDHIST_OFFSET = 2400, 543
 
 # What a raw value may be called in a language.
@@ -90,17 +96,23 @@ PATH_ALIASES = {("public", "holidayTypes"): "public holiday"}
 
 # What a code may be called.
 COUNTRY_CODES = {
-    "CN": "China|中国|中华人民共和国|中國|中国の|จีน|Tiongkok|Cina|རྒྱ་ནག|جۇڭگو|ᠳᠤᠮᠳᠠᠳᠤ|قىتاي".split("|"),
-    "JP": "Japan|日本|日本の|ญี่ปุ่น|Jepang|ཉི་ཧོང|ياپونىيە|ᠶᠠᠫᠣᠨ|ياپون".split("|"),
-    "ID": "Indonesia|印尼|印度尼西亚|インドネシア|อินโดนีเซีย|ཨིན་ཌོ་ནེ་ཤི་ཡ|ھىندونېزىيە|ᠢᠨᠳᠣᠨᠧᠽ|ىندونەزىيە".split("|"),
-    "US": "United States|United States of America|USA|America|美国|美國|米国|アメリカ|สหรัฐอเมริกา|Amerika Serikat|ཨ་མེ་རི་ཁ|ئامېرىكا|ᠠᠮᠧᠷᠢᠺᠠ|امەريكا".split("|"),
-    "MN": "Mongolia|蒙古|モンゴル|มองโกเลีย|སོག་པོ|موڭغۇلىيە|ᠮᠣᠩᠭᠣᠯ|موڭعوليا".split("|"),
+    "CN": ["China", "中国", "中华人民共和国", "中國", "中国の", "จีน", "Tiongkok", "Cina", "རྒྱ་ནག", "جۇڭگو", "ᠳᠤᠮᠳᠠᠳᠤ", "قىتاي"],
+    "JP": ["Japan", "日本", "日本の", "ญี่ปุ่น", "Jepang", "ཉི་ཧོང", "ياپونىيە", "ᠶᠠᠫᠣᠨ", "ياپون"],
+    "ID": ["Indonesia", "印尼", "印度尼西亚", "インドネシア", "อินโดนีเซีย", "ཨིན་ཌོ་ནེ་ཤི་ཡ", "ھىندونېزىيە", "ᠢᠨᠳᠣᠨᠧᠽ", "ىندونەزىيە"],
+    "US": [
+        "United States", "United States of America", "USA", "America", "美国", "美國", "米国", "アメリカ", "สหรัฐอเมริกา", "Amerika Serikat",
+        "ཨ་མེ་རི་ཁ", "ئامېرىكا", "ᠠᠮᠧᠷᠢᠺᠠ", "امەريكا",
+    ],
+    "MN": ["Mongolia", "蒙古", "モンゴル", "มองโกเลีย", "སོག་པོ", "موڭغۇلىيە", "ᠮᠣᠩᠭᠣᠯ", "موڭعوليا"],
 }
 CURRENCY_CODES = {
-    "usd": "USD|US dollar|U.S. dollar|United States dollar|dollar|美元|米ドル|ดอลลาร์สหรัฐ|dolar AS|dolar Amerika|ཨ་རིའི་སྒོར་མོ|ئامېرىكا دوللىرى|ᠠᠮᠧᠷᠢᠺᠠ ᠳ᠋ᠣᠯᠯᠠᠷ|امەريكا دوللىرى".split("|"),
+    "usd": [
+        "USD", "US dollar", "U.S. dollar", "United States dollar", "dollar", "美元", "米ドル", "ดอลลาร์สหรัฐ", "dolar AS", "dolar Amerika",
+        "ཨ་རིའི་སྒོར་མོ", "ئامېرىكا دوللىرى", "ᠠᠮᠧᠷᠢᠺᠠ ᠳ᠋ᠣᠯᠯᠠᠷ", "امەريكا دوللىرى",
+    ],
 }
 LANGUAGE_CODES = {
-    "en": "English|英语|英文|英語|ภาษาอังกฤษ|bahasa Inggris|Inggris|དབྱིན་སྐད|ئىنگلىزچە|ᠠᠩᠭᠯᠢ|اعىلшын".split("|"),
+    "en": ["English", "英语", "英文", "英語", "ภาษาอังกฤษ", "bahasa Inggris", "Inggris", "དབྱིན་སྐད", "ئىنگلىزچە", "ᠠᠩᠭᠯᠢ", "اعىلшын"],
 }
 # The paths whose codes may be copied or localised.
 COUNTRY_PATHS = ["countryCode", "country_code", "iso2Code", "iso2_code", "alpha_two_code"]
