@@ -212,9 +212,11 @@ def code_token_match(spark: SparkSession, d: str) -> DataFrame:
 """)
 def language_scripts(spark: SparkSession, d: str) -> DataFrame:
     """Per prediction, whether the script of the expected language is there, whether a wrong one is, and whether its markers are."""
-    p = evaluation.normalised_predictions(predictions_of(spark, d)).join(forms_of_answers(spark, d), "pred_id")
+    plain = evaluation.normalised_predictions(predictions_of(spark, d)).filter("answer IS NOT NULL").withColumn("plain", tx.nfkc("answer"))
+    lower = plain.withColumn("lower", F.lower(tx.ascii_thai_digits(F.col("plain"))))
+    p = lower.withColumn("match", tx.match_form(F.col("lower"))).withColumn("loose", tx.loose_form(F.col("match")))
     t = evaluation.latest_tasks(tasks_of(spark, d)).select("id", F.col("expected_answer_language").alias("lang"))
-    x = mt.language_diagnostics(F.col("answer"), F.col("f.lower"), F.col("f.match"), F.col("f.loose"), F.col("lang"))
+    x = mt.language_diagnostics(F.col("answer"), F.col("lower"), F.col("match"), F.col("loose"), F.col("lang"))
     return p.join(t, "id").select("pred_id", x.alias("x")).select("pred_id", "x.target", "x.wrong", "x.marker")
 
 
